@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
 from . import handwritten
-from .files import windows
+from ..sources.tables import table
+from .files import per_file, windows
 
 R = Registry()
 
@@ -20,3 +21,32 @@ def p1_found(spark, d):
 def p1_reasons(spark, d):
     """Files, by repository and reason, that a person didn't write there."""
     return handwritten.not_handwritten(windows(spark, d)).groupBy("repo", "reason").agg(F.count("*").alias("files"))
+
+
+@R.add("p4_found")
+def p4_found(spark, d):
+    from .credentials import find_credentials, lines_of
+
+    def visit(file, text):
+        return [(n,) for n in lines_of(text, find_credentials(text))]
+
+    return per_file(windows(spark, d), [("line", "int")], visit).select("file", "line")
+
+
+@R.add("p4_masked")
+def p4_masked(spark, d):
+    """The doc of every chunk, with its credentials masked and all else unchanged."""
+    from .credentials import find_credentials, mask
+
+    def visit(file, text):
+        spans = find_credentials(text)
+        if not spans:
+            return []
+        old, new = text.split("\n"), mask(text, spans).split("\n")
+        return [(i, b) for i, (a, b) in enumerate(zip(old, new), 1) if a != b]
+
+    lines = per_file(windows(spark, d), [("line", "int"), ("masked", "string")], visit).groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("line", "masked"))).alias("masks"))
+    chunks = table(spark, d, "store_meta", ["chunk_id", "file", "start_line", "end_line", "doc"]).dropDuplicates(["chunk_id"])
+    j = chunks.join(lines, "file", "left")
+    doc = F.array_join(F.transform(F.split("doc", "\n"), lambda x, i: F.coalesce(F.try_element_at("masks", (F.col("start_line") + i).cast("int")), x)), "\n")
+    return j.select("chunk_id", F.when(F.col("masks").isNull(), F.col("doc")).otherwise(doc).alias("doc"))
