@@ -8,6 +8,7 @@ from ..plans.registry import Registry
 from . import handwritten
 from ..sources.tables import table
 from .files import per_file, windows
+from .leaks import find_leaks, leaked_per_item
 
 R = Registry()
 
@@ -50,3 +51,14 @@ def p4_masked(spark, d):
     j = chunks.join(lines, "file", "left")
     doc = F.array_join(F.transform(F.split("doc", "\n"), lambda x, i: F.coalesce(F.try_element_at("masks", (F.col("start_line") + i).cast("int")), x)), "\n")
     return j.select("chunk_id", F.when(F.col("masks").isNull(), F.col("doc")).otherwise(doc).alias("doc"))
+
+
+@R.add("p9_found")
+def p9_found(spark, d):
+    return find_leaks(table(spark, d, "documents", ["doc_id", "text"]), table(spark, d, "benchmark", ["item_id", "text"]))
+
+
+@R.add("p9_items")
+def p9_items(spark, d):
+    """How many documents carry each leaked item."""
+    return leaked_per_item(find_leaks(table(spark, d, "documents", ["doc_id", "text"]), table(spark, d, "benchmark", ["item_id", "text"])))
