@@ -9,6 +9,8 @@ from . import handwritten
 from ..sources.tables import table
 from .files import per_file, windows
 from .leaks import find_leaks, leaked_per_item
+from .neighbours import similar_pairs
+from .sentences import sentence_rows
 
 R = Registry()
 
@@ -62,3 +64,21 @@ def p9_found(spark, d):
 def p9_items(spark, d):
     """How many documents carry each leaked item."""
     return leaked_per_item(find_leaks(table(spark, d, "documents", ["doc_id", "text"]), table(spark, d, "benchmark", ["item_id", "text"])))
+
+
+@R.add("p6_found")
+def p6_found(spark, d):
+    return similar_pairs(table(spark, d, "vector_store", ["vec_id", "embedding"]))
+
+
+@R.add("p10_found")
+def p10_found(spark, d):
+    return sentence_rows(table(spark, d, "documents", ["doc_id", "text"])).distinct()
+
+
+@R.add("p10_per_language")
+def p10_per_language(spark, d):
+    """How many sentences, and of how many characters, the documents of each label hold."""
+    docs = table(spark, d, "documents", ["doc_id", "text", "lang"])
+    rows = sentence_rows(docs).distinct().join(docs.select("doc_id", "lang").dropDuplicates(["doc_id"]), "doc_id")
+    return rows.groupBy("lang").agg(F.count("*").alias("sentences"), F.round(F.avg(F.col("end_pos") - F.col("start_pos")), 6).alias("mean_chars"))
