@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
-from . import handwritten
+from . import handwritten, packing
 from ..sources.tables import table
 from .files import per_file, windows
 from .leaks import find_leaks, leaked_per_item
@@ -82,3 +82,39 @@ def p10_per_language(spark, d):
     docs = table(spark, d, "documents", ["doc_id", "text", "lang"])
     rows = sentence_rows(docs).distinct().join(docs.select("doc_id", "lang").dropDuplicates(["doc_id"]), "doc_id")
     return rows.groupBy("lang").agg(F.count("*").alias("sentences"), F.round(F.avg(F.col("end_pos") - F.col("start_pos")), 6).alias("mean_chars"))
+
+
+def _file_tokens(spark, d):
+    """file, repo, language group, domain and tokens of every file."""
+    from .files import language_group
+    from .tokens import file_domain, load_counter
+
+    shared = spark.sparkContext.broadcast(load_counter())  # bounded by the vocabulary
+
+    def visit(file, text):
+        return [(file_domain(file), language_group(None, file), shared.value.text(text), len(text))]
+
+    return per_file(windows(spark, d), [("domain", "string"), ("by_file", "string"), ("tokens", "bigint"), ("chars", "bigint")], visit)
+
+
+@R.add("p3_tokens")
+def p3_tokens(spark, d):
+    """Files, characters and estimated tokens per repository, language and domain."""
+    t = _file_tokens(spark, d)
+    return t.groupBy(F.coalesce("repo", F.lit("unknown")).alias("repo"), F.col("by_file").alias("language"), "domain").agg(
+        F.count("*").alias("files"), F.sum("chars").alias("chars"), F.sum("tokens").alias("tokens")
+    )
+
+
+def _packed(spark, d):
+    return packing.pack(packing.token_sizes(table(spark, d, "documents", ["doc_id", "text"])), table(spark, d, "container_sizes", ["container", "capacity_tokens"]))
+
+
+@R.add("p8_pack")
+def p8_pack(spark, d):
+    return _packed(spark, d)
+
+
+@R.add("p8_fill")
+def p8_fill(spark, d):
+    return packing.fill_report(_packed(spark, d), table(spark, d, "container_sizes", ["container", "capacity_tokens"]))
