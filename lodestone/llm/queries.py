@@ -118,3 +118,29 @@ def p8_pack(spark, d):
 @R.add("p8_fill")
 def p8_fill(spark, d):
     return packing.fill_report(_packed(spark, d), table(spark, d, "container_sizes", ["container", "capacity_tokens"]))
+
+
+def _syntax(spark, d):
+    """file, repo, language, line (null if valid) and found text of every file with a grammar."""
+    from .syntax import extension, first_error
+
+    def visit(file, text):
+        ext = extension(file)
+        if ext is None:
+            return []
+        line, found = first_error(file, text) or (None, None)
+        return [(ext, line, found)]
+
+    return per_file(windows(spark, d), [("ext", "string"), ("line", "int"), ("found", "string")], visit)
+
+
+@R.add("p2_found")
+def p2_found(spark, d):
+    return _syntax(spark, d).where("line is not null").select("file")
+
+
+@R.add("p2_rates")
+def p2_rates(spark, d):
+    """Files and invalid files per repository and language."""
+    s = _syntax(spark, d)
+    return s.groupBy("repo", F.col("ext").alias("language")).agg(F.count("*").alias("files"), F.count("line").alias("invalid"), F.round(F.count("line") / F.count("*"), 6).alias("rate"))
