@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def registries():
-    from . import keys
+    from . import ingest, keys, retrieval
 
-    yield keys.R
+    yield from (keys.R, ingest.R, retrieval.R)
