@@ -54,7 +54,7 @@ def split_large(chunks: DataFrame, most: int = fixed.MAX_CHUNK_CHARS) -> DataFra
 
 def interface_like(text: Column) -> Column:
     """Mostly declarations and few statements."""
-    code = F.filter(F.transform(T.lines(text), F.trim), lambda x: (x != "") & ~x.rlike(r"^(#|//|/\*|\*)"))
+    code = F.filter(F.transform(T.lines(text), lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike(r"^(#|//|/\*|\*)"))
     declared = F.size(F.filter(code, lambda x: x.rlike(fixed.DECLARATION)))
     stated = F.size(F.filter(code, lambda x: ~x.rlike(fixed.DECLARATION) & x.rlike(fixed.STATEMENT)))
     return (declared >= 2) & (stated <= F.greatest(F.lit(1), F.floor(declared / 3)))
@@ -125,6 +125,6 @@ def merge_slices(requests: DataFrame, files: DataFrame, most_lines: int = 400) -
 
 def grep(numbered: DataFrame, pattern: str, path_part: str = "", most_chars: int = 200) -> DataFrame:
     """Lines that match a pattern, whatever the case; trimmed and cut."""
-    t = F.trim(F.col("line_text"), )
+    t = F.trim(F.col("line_text"))
     cut = F.when(F.length(t) > most_chars, F.concat(F.substring(t, 1, most_chars), F.lit("…"))).otherwise(t)
     return numbered.where(F.col("file").contains(path_part) & F.col("line_text").rlike(f"(?i){pattern}")).select("file", "line", cut.alias("snippet"))

@@ -93,7 +93,7 @@ def policy(score: Column, blocks: Column, intent: Column) -> Column:
 def excerpt(answer: Column, most: int = 600) -> Column:
     """What of an answer helps to find things: its fenced code, its telling lines, else its end."""
     code = F.transform(F.regexp_extract_all(answer, F.lit(r"(?s)```(?:[\w+-]+)?\n(.*?)```"), F.lit(1)), lambda x: F.trim(x, F.lit(" \n\t\r")))
-    telling = F.slice(F.filter(F.transform(T.lines(answer), F.trim), lambda x: (x != "") & x.rlike(fixed.INTERESTING_LINE)), 1, 30)
+    telling = F.slice(F.filter(F.transform(T.lines(answer), lambda x: F.trim(x)), lambda x: (x != "") & x.rlike(fixed.INTERESTING_LINE)), 1, 30)
     parts = F.filter(F.concat(code, F.when(F.size(telling) > 0, F.array(F.array_join(telling, "\n"))).otherwise(F.array().cast("array<string>"))), lambda x: x != "")
     said = F.when(F.size(parts) > 0, F.array_join(parts, "\n\n")).otherwise(F.substring(answer, -most, most))
     return F.trim(F.substring(said, 1, most), F.lit(" \n\t\r"))
