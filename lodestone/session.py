@@ -46,3 +46,12 @@ def cut(df: DataFrame) -> DataFrame:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """For CPU-bound stages on inputs with fewer partitions than the shuffle width: hash-partitions by ``key``.
+
+    Large inputs come in more partitions than that and stay as they are.
+    """
+    width = max(shuffle_width(df.sparkSession), df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(width, key) if df.rdd.getNumPartitions() < width else df
