@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shuffle_width
 from ..sources.tables import table
 
 #: Spellings of one language, by its usual name (fixed values).
@@ -44,7 +45,8 @@ def assemble(parts: list[dict]) -> str:
 def windows(spark: SparkSession, root: str) -> DataFrame:
     """file, repo (lower case, by the path where null), language and its windows, one row per file."""
     m = table(spark, root, "store_meta", ["file", "repo", "language", "start_line", "end_line", "doc"]).where("file is not null and doc is not null and start_line is not null")
-    g = m.groupBy("file").agg(
+    # a fixed width: text-heavy files take long to work on, so adaptive execution must not merge them to a few tasks
+    g = m.repartition(max(shuffle_width(spark), spark.sparkContext.defaultParallelism), "file").groupBy("file").agg(
         F.min(F.lower("repo")).alias("repo"), F.min(F.lower("language")).alias("language"), F.collect_set(F.struct("start_line", F.coalesce("end_line", "start_line").alias("end_line"), "doc")).alias("parts")
     )
     by_path = F.lower(F.regexp_extract("file", r"^/?(?:[^/]+/){2}([^/]+)/", 1))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
 from . import handwritten, packing
+from ..session import spread
 from ..sources.tables import table
 from .files import per_file, windows
 from .leaks import find_leaks, leaked_per_item
@@ -15,6 +16,10 @@ from .sentences import sentence_rows
 R = Registry()
 
 
+def _documents(spark, d):
+    return spread(table(spark, d, "documents", ["doc_id", "text"]), "doc_id")
+
+
 @R.add("p1_found")
 def p1_found(spark, d):
     return handwritten.not_handwritten(windows(spark, d)).select("file")
@@ -57,13 +62,13 @@ def p4_masked(spark, d):
 
 @R.add("p9_found")
 def p9_found(spark, d):
-    return find_leaks(table(spark, d, "documents", ["doc_id", "text"]), table(spark, d, "benchmark", ["item_id", "text"]))
+    return find_leaks(_documents(spark, d), table(spark, d, "benchmark", ["item_id", "text"]))
 
 
 @R.add("p9_items")
 def p9_items(spark, d):
     """How many documents carry each leaked item."""
-    return leaked_per_item(find_leaks(table(spark, d, "documents", ["doc_id", "text"]), table(spark, d, "benchmark", ["item_id", "text"])))
+    return leaked_per_item(find_leaks(_documents(spark, d), table(spark, d, "benchmark", ["item_id", "text"])))
 
 
 @R.add("p6_found")
@@ -73,7 +78,7 @@ def p6_found(spark, d):
 
 @R.add("p10_found")
 def p10_found(spark, d):
-    return sentence_rows(table(spark, d, "documents", ["doc_id", "text"])).distinct()
+    return sentence_rows(_documents(spark, d)).distinct()
 
 
 @R.add("p10_per_language")
@@ -107,7 +112,7 @@ def p3_tokens(spark, d):
 
 
 def _packed(spark, d):
-    return packing.pack(packing.token_sizes(table(spark, d, "documents", ["doc_id", "text"])), table(spark, d, "container_sizes", ["container", "capacity_tokens"]))
+    return packing.pack(packing.token_sizes(_documents(spark, d)), table(spark, d, "container_sizes", ["container", "capacity_tokens"]))
 
 
 @R.add("p8_pack")
