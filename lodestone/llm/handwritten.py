@@ -102,7 +102,7 @@ def signs(file: str, text: str) -> str | None:
             return "generated"
         if ext in _CODE and len(code) >= 6:
             counted = _counted(code)
-            if counted >= 0.7 or (counted >= 0.4 or _repeated(code) >= 0.8) and (dirs & _OUTPUT_DIRS or _OUTPUT_NAME.search(name)):
+            if counted >= 0.7 or counted >= 0.45 and len(code) >= 24 and _repeated(code) >= 0.95 or (counted >= 0.4 or _repeated(code) >= 0.8) and (dirs & _OUTPUT_DIRS or _OUTPUT_NAME.search(name)):
                 return "generated"
     if ext in _CODE or ext == "json":
         packed = sum(len(x) for x in lines if _PACKED_ROW.match(x))
