@@ -45,7 +45,13 @@ def debounce_paths(spark, d):
 )
 def rebuild_sessions(spark, d):
     """One rebuild per burst of events of a key."""
-    return S.sessions(events(spark, d), "user_id", "2 hours")
+    return S.sessions(events(spark, d), "user_id", 7200).select(F.col("user_id").cast("bigint").alias("user_id"), F.col("start_ts").cast("timestamp_ntz").alias("start_ts"), "n_events")
+
+
+@R.add("storm_gate")
+def storm_gate(spark, d):
+    """Pauses of the indexer: three events within ten minutes begin one of an hour."""
+    return S.storm_pauses(events(spark, d), 600, 3, 3600)
 
 
 @R.add("head_change", f"SELECT event_id, user_id, event_type AS after, before FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM {EV}) WHERE before IS NOT NULL AND before <> event_type")
@@ -95,6 +101,24 @@ def stream_debounce(spark, d):
     return S.run_to_end(S.debounce_stream(_stream(spark, d), "user_id", 3600), "debounce").select("event_id", F.col("user_id").cast("bigint").alias("user_id"))
 
 
+@R.add("stream_sessions")
+def stream_sessions(spark, d):
+    s = _stream(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    return S.run_to_end(S.session_stream(s, "user_id", "2 hours"), "sessions")
+
+
+@R.add("stream_upsert", f"SELECT user_id, count(*)::BIGINT AS n FROM (SELECT DISTINCT user_id, event_type FROM {EV}) GROUP BY user_id")
+def stream_upsert(spark, d):
+    """Micro-batches merged into a table of versions by key."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+
+    target = f"{ensure_checkpoint_dir(spark)}/upsert-{uuid.uuid4().hex}"
+    t = S.upsert_stream(_stream(spark, d).select("user_id", "event_type"), target, ["user_id", "event_type"], "q")
+    return t.groupBy("user_id").agg(F.count("*").alias("n"))
+
+
 # Evaluation: a benchmark item is a case; the documents whose id agrees with it modulo 240 are to be cited, the BM25 list is what was cited.
 _CASES = f"""WITH {_BM}, {_scores(QUERIES)}, ci AS (SELECT * FROM (SELECT query_id AS case_id, id, {_RANK.format(s='score')} AS rank0 FROM sc) WHERE rank0 < 60),
 go AS (SELECT item_id AS case_id, doc_id AS id FROM (SELECT DISTINCT item_id FROM benchmark) b JOIN (SELECT DISTINCT doc_id FROM documents) d ON d.doc_id % 240 = b.item_id % 240 AND d.doc_id < 960),

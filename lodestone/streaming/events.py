@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import fixed
-from ..session import ensure_checkpoint_dir
+from ..session import cut, ensure_checkpoint_dir, shuffle_width
 
 
 def trailing_counts(events: DataFrame, seconds: int = fixed.STORM_WINDOW_S) -> DataFrame:
@@ -26,33 +27,118 @@ def trailing_counts(events: DataFrame, seconds: int = fixed.STORM_WINDOW_S) -> D
     return shown.withColumn("n", F.count("*").over(w)).where("_own").select("event_id", "ts", "n")
 
 
+def islands(events: DataFrame, by: str, seconds: float) -> DataFrame:
+    """events(event_id, by, ts) -> event_id, _k, _us, island: a gap of ``seconds`` or more, or another key, begins a new island.
+
+    Rows are range-partitioned by (key, time), so a hot key is spread over many tasks; each partition counts its own
+    breaks, and what crosses partitions is one summary row each, which the driver adds up.
+    """
+    gap = int(seconds * 1_000_000)
+    e = events.where(f"{by} is not null and ts is not null").select("event_id", F.col(by).cast("string").alias("_k"), F.unix_micros(F.col("ts").cast("timestamp")).alias("_us"))
+    spark = e.sparkSession
+    placed = cut(e.repartitionByRange(max(shuffle_width(spark), spark.sparkContext.defaultParallelism), "_k", "_us", "event_id").sortWithinPartitions("_k", "_us", "event_id")).withColumn("_p", F.spark_partition_id())
+
+    def breaks(k: np.ndarray, us: np.ndarray, before: tuple | None) -> np.ndarray:
+        new = np.ones(len(k), dtype=bool)
+        new[1:] = (k[1:] != k[:-1]) | (us[1:] - us[:-1] >= gap)
+        if before is not None and len(k):
+            new[0] = k[0] != before[0] or us[0] - before[1] >= gap
+        return new
+
+    def summary(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first, last, n, pid = None, None, 0, 0
+        for b in batches:
+            if not len(b):
+                continue
+            k, us = b["_k"].to_numpy(), b["_us"].to_numpy()
+            pid = int(b["_p"].iloc[0])
+            new = breaks(k, us, last)
+            n += int(new.sum()) - (1 if first is None else 0)
+            first = first or (k[0], int(us[0]))
+            last = (k[-1], int(us[-1]))
+        if first:
+            yield pd.DataFrame({"p": [pid], "k0": [first[0]], "u0": [first[1]], "k1": [last[0]], "u1": [last[1]], "n": [n]})
+
+    rows = sorted(placed.mapInPandas(summary, "p int, k0 string, u0 bigint, k1 string, u1 bigint, n bigint").collect(), key=lambda r: r.p)  # a row per partition
+    start: dict[int, int] = {}
+    at, before = 0, None
+    for r in rows:
+        begins = before is None or r.k0 != before.k1 or r.u0 - before.u1 >= gap
+        at += 1 if begins else 0
+        start[r.p] = at
+        at += r.n
+        before = r
+    given = spark.sparkContext.broadcast(start)
+
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, at = None, None
+        for b in batches:
+            if not len(b):
+                continue
+            k, us = b["_k"].to_numpy(), b["_us"].to_numpy()
+            new = breaks(k, us, last).astype(np.int64)
+            if at is None:
+                at = given.value[int(b["_p"].iloc[0])]
+                new[0] = 0
+            island = at + np.cumsum(new)
+            at, last = int(island[-1]), (k[-1], int(us[-1]))
+            yield pd.DataFrame({"event_id": b["event_id"], "_k": k, "_us": us, "island": island})
+
+    return placed.mapInPandas(number, "event_id bigint, _k string, _us bigint, island bigint")
+
+
+def _in_islands(events: DataFrame, by: str, seconds: float, fold: Callable) -> DataFrame:
+    """Runs an ordered fold over every island; only the fold's own state is held."""
+    return islands(events, by, seconds).repartition("island").sortWithinPartitions("island", "_us", "event_id").mapInPandas(fold, "event_id bigint, _k string, _us bigint")
+
+
 def debounce(events: DataFrame, by: str, seconds: float = fixed.DEBOUNCE_S) -> DataFrame:
     """events(event_id, by, ts): drops an event less than ``seconds`` after the last *accepted* one of its key.
 
-    An ordered fold over each key's sorted partition; only the last accepted time is held, however hot the key.
+    An event after a gap of that length is always accepted, so islands between such gaps are folded on their own.
     """
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, last = None, None
+        island, last = None, None
         for b in batches:
             keep = []
-            for k, us in zip(b["_k"], b["_us"]):
-                if k != key:
-                    key, last = k, None
+            for i, us in zip(b["island"], b["_us"]):
+                if i != island:
+                    island, last = i, None
                 ok = last is None or us - last >= seconds * 1_000_000
                 keep.append(ok)
                 last = us if ok else last
             yield b.loc[keep, ["event_id", "_k", "_us"]]
 
-    e = events.where(f"{by} is not null and ts is not null").select("event_id", F.col(by).cast("string").alias("_k"), F.unix_micros(F.col("ts").cast("timestamp")).alias("_us"))
-    out = e.repartition("_k").sortWithinPartitions("_k", "_us", "event_id").mapInPandas(fold, "event_id bigint, _k string, _us bigint")
-    return out.select("event_id", F.col("_k").alias(by), F.timestamp_micros("_us").alias("ts"))
+    return _in_islands(events, by, seconds, fold).select("event_id", F.col("_k").alias(by), F.timestamp_micros("_us").alias("ts"))
 
 
-def sessions(events: DataFrame, by: str, gap: str) -> DataFrame:
-    """One row per burst: a gap of that length or more begins a new one."""
-    g = events.groupBy(by, F.session_window("ts", gap).alias("s")).agg(F.count("*").alias("n_events"))
-    return g.select(by, F.col("s.start").alias("start_ts"), "n_events")
+def storm_pauses(events: DataFrame, seconds: int = fixed.STORM_WINDOW_S, threshold: int = fixed.STORM_THRESHOLD, cooldown: float = 8.0) -> DataFrame:
+    """(event_id, ts) of the events that begin a pause: the window holds ``threshold`` events and no pause is on.
+
+    A pause lasts ``cooldown`` seconds; storms further apart than that don't depend on each other.
+    """
+    hot = trailing_counts(events, seconds).where(F.col("n") >= threshold).withColumn("all", F.lit("all"))
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        island, until = None, None
+        for b in batches:
+            keep = []
+            for i, us in zip(b["island"], b["_us"]):
+                if i != island:
+                    island, until = i, None
+                ok = until is None or us >= until
+                keep.append(ok)
+                until = us + int(cooldown * 1_000_000) if ok else until
+            yield b.loc[keep, ["event_id", "_k", "_us"]]
+
+    return _in_islands(hot, "all", cooldown, fold).select("event_id", F.timestamp_micros("_us").alias("ts"))
+
+
+def sessions(events: DataFrame, by: str, seconds: float) -> DataFrame:
+    """One row per burst: a gap of that length or more begins a new one. Bursts are counted by partial aggregation."""
+    g = islands(events, by, seconds).groupBy("island").agg(F.min("_k").alias(by), F.min("_us").alias("us"), F.count("*").alias("n_events"))
+    return g.select(by, F.timestamp_micros("us").alias("start_ts"), "n_events")
 
 
 def changes(states: DataFrame, by: str, order: str, value: str) -> DataFrame:
@@ -100,3 +186,27 @@ def debounce_stream(events: DataFrame, by: str, seconds: float = fixed.DEBOUNCE_
 
     e = events.where(f"{by} is not null").select("event_id", F.col(by).cast("string").alias(by), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
     return e.groupBy(by).applyInPandasWithState(step, f"event_id bigint, {by} string, us bigint", "last bigint", "append", GroupStateTimeout.NoTimeout)
+
+
+def session_stream(events: DataFrame, by: str, gap: str, late: str = "10 minutes") -> DataFrame:
+    """Bursts on a stream, given out when the watermark has passed them."""
+    g = events.withWatermark("ts", late).groupBy(by, F.session_window("ts", gap).alias("s")).agg(F.count("*").alias("n_events"))
+    return g.select(by, F.col("s.start").alias("start_ts"), "n_events")
+
+
+def upsert_stream(stream: DataFrame, target: str, keys: list[str], name: str) -> DataFrame:
+    """Per micro-batch: rows of the batch's keys are replaced in a table of versions; gives the last version.
+
+    Every batch writes a new version folder and then its number, so readers never see half a batch.
+    """
+    from ..sources.store import VersionedTable
+
+    store = VersionedTable(stream.sparkSession, target)
+
+    def merge(batch: DataFrame, n: int) -> None:
+        fresh = batch.dropDuplicates(keys)
+        old = store.read()
+        store.write(fresh if old is None else old.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh), f"batch-{n}")
+
+    stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{target}-ck-{name}").trigger(availableNow=True).start().awaitTermination()
+    return store.read()
