@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def registries():
-    from . import graphs, ingest, keys, retrieval, streams
+    from . import composites, graphs, ingest, keys, retrieval, streams
 
-    yield from (keys.R, ingest.R, retrieval.R, graphs.R, streams.R)
+    yield from (keys.R, ingest.R, retrieval.R, graphs.R, streams.R, composites.R)
