@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def case_metrics(gold: DataFrame, cited: DataFrame) -> DataFrame:
     """gold(case_id, id) x cited(case_id, id, rank0) -> recall, rr (0 if nothing was found) and passed per case."""
-    j = gold.distinct().join(cited, ["case_id", "id"], "left").groupBy("case_id").agg(F.count("*").alias("wanted"), F.count("rank0").alias("found"), F.min("rank0").alias("first"))
+    j = gold.select("case_id", "id").distinct().join(cited.select("case_id", "id", "rank0"), ["case_id", "id"], "left").groupBy("case_id").agg(F.count("*").alias("wanted"), F.count("rank0").alias("found"), F.min("rank0").alias("first"))
     return j.select("case_id", (F.col("found") / F.col("wanted")).alias("recall"), F.coalesce(1 / (F.col("first") + 1), F.lit(0.0)).alias("rr"), (F.col("found") > 0).alias("passed"))
 
 

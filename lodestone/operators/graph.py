@@ -62,6 +62,7 @@ def importers(imports: DataFrame, wanted: DataFrame) -> DataFrame:
     A text that holds the part holds all its three-letter pieces, so both sides meet on the part's rarest-looking piece
     instead of on every pair; parts under three letters are compared with distinct targets only.
     """
+    imports = imports.select("file", "target", "line", "repo")
     w = wanted.where("part is not null").select("part").distinct()
     t = imports.select("target").where("target is not null").distinct()
     pieces = F.transform(F.sequence(F.lit(1), F.length("target") - 2), lambda i: F.col("target").substr(i, F.lit(3)))
@@ -75,6 +76,7 @@ def importers(imports: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def neighbours(calls: DataFrame, called: DataFrame, imported: DataFrame, most: int) -> DataFrame:
     """Three relations (key, file, line, symbol) in the order callers, callees, importers; the first ``most`` per key."""
+    calls, called, imported = (x.select("key", "file", "line", "symbol") for x in (calls, called, imported))
     u = calls.withColumn("relation", F.lit("caller")).withColumn("_p", F.lit(0)).unionByName(called.withColumn("relation", F.lit("callee")).withColumn("_p", F.lit(1))).unionByName(imported.withColumn("relation", F.lit("importer")).withColumn("_p", F.lit(2)))
     u = u.select("key", "relation", "_p", "file", "line", "symbol").distinct()
     w = Window.partitionBy("key").orderBy("_p", "file", "line", "symbol")

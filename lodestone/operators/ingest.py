@@ -36,7 +36,7 @@ def indexable(file: Column) -> Column:
 def window_chunks(files: DataFrame, size: int = fixed.CHUNK_LINES, overlap: int = fixed.CHUNK_OVERLAP, least: int = fixed.MIN_CHUNK_LEN) -> DataFrame:
     """files(file, text, ...) -> one row per line window: chunk, start_line, end_line, text; ends at the first window that reaches the end."""
     step = size - overlap
-    f = files.where("text is not null").withColumn("_l", T.lines(F.col("text")))
+    f = files.drop("chunk").where("text is not null").withColumn("_l", T.lines(F.col("text")))
     n = F.size("_l")
     count = F.greatest(F.ceil((n - size) / step), F.lit(0)).cast("int")
     g = f.withColumn("_i", F.explode(F.sequence(F.lit(0), count))).withColumn("start_line", F.col("_i") * step + 1).withColumn("end_line", F.least(n, F.col("_i") * step + size))
@@ -112,7 +112,8 @@ def change_status(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def upsert(stored: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
     """Stored rows without those whose key comes again, and the fresh rows."""
-    return stored.join(fresh.select(*keys).distinct(), keys, "left_anti").unionByName(fresh)
+    # columns that only one side has are null on the other
+    return stored.join(fresh.select(*keys).distinct(), keys, "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
 def merge_slices(requests: DataFrame, files: DataFrame, most_lines: int = 400) -> DataFrame:

@@ -66,12 +66,12 @@ def life_spans(targets: DataFrame) -> DataFrame:
 
 
 def find_orphans(references: DataFrame, targets: DataFrame) -> DataFrame:
-    """references(row_id, key, seen_at, ...) x targets(key, created_at, removed_at) -> orphans with a reason.
+    """references(src_table, row_id, key, seen_at) x targets(key, created_at, removed_at) -> orphans with a reason.
 
     reason is ``missing`` (no target row at all), ``late`` (some target is created after the reference)
-    or ``deleted``. Every column of ``references`` is kept; one row per row_id and key.
+    or ``deleted``. Other columns of either side are left out.
     """
-    r = references.where("key is not null").withColumn("_seen", F.col("seen_at").cast("timestamp_ntz"))
+    r = references.select("src_table", "row_id", "key", "seen_at").where("key is not null").withColumn("_seen", F.col("seen_at").cast("timestamp_ntz"))
     j = r.join(life_spans(targets).select(F.col("key"), F.lit(True).alias("_known"), "spans", "last_created"), "key", "left")
     alive = F.coalesce(F.exists("spans", lambda s: (s["a"] <= F.col("_seen")) & (F.col("_seen") < s["b"])), F.lit(False))
     reason = F.when(F.col("_known").isNull(), "missing").when(F.coalesce(F.col("last_created") > F.col("_seen"), F.lit(False)), "late").otherwise("deleted")
@@ -121,7 +121,7 @@ def orphan_cascade(links: DataFrame, orphan_ids: DataFrame, max_rounds: int = 64
     what is known; the frontier is cut with a checkpoint. Returns id, level (0 = direct). Cycles end,
     because a known id never enters the frontier again.
     """
-    links = cut(links.where("child is not null and parent is not null").distinct())
+    links = cut(links.select("child", "parent").where("child is not null and parent is not null").distinct())
     known = cut(orphan_ids.select("id").where("id is not null").distinct().withColumn("level", F.lit(0)))
     frontier = known
     for level in range(1, max_rounds + 1):

@@ -109,6 +109,7 @@ def covering_chunk(points: DataFrame, chunks: DataFrame, bin_lines: int = 64) ->
 
     Covering is an equi-join on (file, bin of lines); only points that nothing covers look at their file's chunks.
     """
+    points, chunks = points.select("point_id", "file", "line"), chunks.select("file", "chunk_id", "start_line", "end_line")
     c = chunks.withColumn("_b", F.explode(F.sequence(F.floor(F.col("start_line") / bin_lines), F.floor(F.col("end_line") / bin_lines))))
     p = points.withColumn("_b", F.floor(F.col("line") / bin_lines))
     inside = p.join(c, ["file", "_b"]).where("line between start_line and end_line").groupBy("point_id").agg(F.min_by("chunk_id", F.struct("start_line", "chunk_id")).alias("chunk_id")).withColumn("covers", F.lit(True))

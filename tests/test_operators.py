@@ -185,3 +185,87 @@ def test_metrics(spark):
     cited = spark.createDataFrame([(1, 11, 1)], "case_id bigint, id bigint, rank0 int")
     got = {r.case_id: (r.recall, r.rr, r.passed) for r in evaluation.case_metrics(gold, cited).collect()}
     assert got == {1: (0.5, 0.5, True), 2: (0.0, 0.0, False)}
+
+
+def test_extra_columns_with_clashing_names(spark):
+    from lodestone.operators import hierarchy, orphans
+
+    r = spark.createDataFrame([("t", 1, "a", T0, "x", 1)], "src_table string, row_id bigint, key string, seen_at timestamp_ntz, spans string, _known int")
+    t = spark.createDataFrame([("a", T0, None, "y")], "key string, created_at timestamp_ntz, removed_at timestamp_ntz, reason string")
+    assert orphans.find_orphans(r, t).count() == 0
+    links = spark.createDataFrame([("b", "a", "x", 5)], "child string, parent string, root_id string, depth int")
+    assert {(x.node_id, x.depth) for x in hierarchy.build_hierarchy(links).collect()} == {("a", 0), ("b", 1)}
+    files = spark.createDataFrame([("f", "a long enough line of text here", 1, 2, 3)], "file string, text string, chunk int, start_line int, end_line int")
+    assert [(x.chunk, x.start_line) for x in ingest.window_chunks(files).collect()] == [(0, 1)]
+    c = spark.createDataFrame([("f", "c0", 1, 40, 7)], "file string, chunk_id string, start_line int, end_line int, line int")
+    p = spark.createDataFrame([(1, "f", 3, "z", 1)], "point_id bigint, file string, line int, chunk_id string, start_line int")
+    assert [tuple(x) for x in search.covering_chunk(p, c).collect()] == [(1, "c0", True)]
+    i = spark.createDataFrame([("f", "os", 1, "r", "x")], "file string, target string, line int, repo string, part string")
+    assert graph.importers(i, spark.createDataFrame([("os", 1)], "part string, line int")).count() == 1
+    g = spark.createDataFrame([(1, 10, 5)], "case_id bigint, id bigint, rank0 int")
+    assert evaluation.case_metrics(g, spark.createDataFrame([(1, 10, 1, 2)], "case_id bigint, id bigint, rank0 int, wanted int")).first().recall == 1.0
+
+
+def test_empty_tables(spark):
+    e = lambda s: spark.createDataFrame([], s)
+    assert ingest.window_chunks(e("file string, text string")).count() == 0
+    assert search.merge_ranges(e("file string, start_line int, end_line int, last_line int")).count() == 0
+    assert search.nearest(e("id bigint, embedding array<float>"), e("query_id bigint, embedding array<float>"), 3).count() == 0
+    assert S.debounce(e("event_id bigint, k string, ts timestamp_ntz"), "k").count() == 0
+    assert S.sessions(e("event_id bigint, k string, ts timestamp_ntz"), "k", 5).count() == 0
+    assert graph.multi_hop(e("src_id string, dst_id string, kind string, weight double"), e("seed string, id string"), 2).count() == 0
+    assert evaluation.case_metrics(e("case_id bigint, id bigint"), e("case_id bigint, id bigint, rank0 int")).count() == 0
+
+
+def test_islands_do_not_depend_on_partitions(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(i, rng.choice("aab"), rng.randint(0, 400)) for i in range(300)]
+    want, last, n = {}, {}, 0
+    for i, k, s in sorted(rows, key=lambda r: (r[1], r[2], r[0])):
+        if k not in last or s - last[k] >= 5:
+            n += 1
+        last[k] = s
+        want[i] = n
+    got = {r.event_id: r.island for r in S.islands(ev(spark, *rows), "k", 5).collect()}
+    back = {}
+    for i, x in got.items():
+        back.setdefault(x, set()).add(want[i])
+    assert all(len(v) == 1 for v in back.values()) and len(back) == n
+
+
+def test_storm_pauses(spark):
+    got = sorted(r.event_id for r in S.storm_pauses(ev(spark, (1, "a", 0), (2, "a", 1), (3, "a", 2), (4, "a", 3), (5, "a", 11), (6, "a", 11), (7, "a", 12)), 2, 3, 8).collect())
+    assert got == [3, 7]
+
+
+def test_versioned_table(spark, tmp_path):
+    from lodestone.sources.store import VersionedTable, read_suite
+
+    t = VersionedTable(spark, str(tmp_path / "t"))
+    assert t.read() is None
+    first = t.write(spark.range(3))
+    t.write(spark.range(5))
+    assert t.read().count() == 5 and t.read(first).count() == 3 and t.read("none") is None
+    (tmp_path / "s.json").write_text('[{"id": "a", "query": "q", "must_cite": ["x.py"]}, {"id": "b"}]')
+    assert {r.id: (r.must_cite, r.tags) for r in read_suite(spark, str(tmp_path / "s.json")).collect()} == {"a": (["x.py"], []), "b": ([], [])}
+
+
+def test_tools_always_answer(spark, data):
+    from lodestone.tools import dispatch, memo_key
+
+    memo = {}
+    assert dispatch(spark, data, "nope", "{}", memo).startswith("error")
+    assert dispatch(spark, data, "grep", "not json").startswith("error")
+    assert "limit" in dispatch(spark, data, "grep", '{"pattern": "limit"}', memo)
+    assert memo_key("a", '{"y": 1, "x": 2}') == memo_key("a", '{"x": 2, "y": 1}') and len(memo) == 2
+
+
+def test_retrieve_within_budget(spark):
+    from lodestone.operators.retrieve import retrieve
+
+    c = spark.createDataFrame([(i, f"src/f{i}.py", "load_graph" if i == 3 else None, f"text about graph number {i} " * 5) for i in range(8)] + [(9, None, None, None), (10, "e", None, "")], "id bigint, file string, symbol string, text string")
+    q = spark.createDataFrame([(1, "load_graph number"), (2, ""), (3, None)], "query_id bigint, query string")
+    got = retrieve(q, c, budget=100).collect()
+    assert {r.query_id for r in got} == {1} and max(r.used for r in got) <= 100 and min(got, key=lambda r: r.pos).id == 3
