@@ -23,7 +23,7 @@ _STRONG = {"password", "passwd", "pwd", "pw", "pass", "passphrase", "passcode",
 #: Words of a name that make it speak of something else (fixed values).
 _OTHER = {"path", "file", "field", "label", "sha", "sha1", "sha256", "md5", "hash", "digest", "checksum", "uuid", "integrity", "commit", "public", "selector", "regex", "pattern", "prefix", "header", "hint", "example", "id", "fingerprint", "etag", "dir", "column", "placeholder", "type", "len", "count", "url"}
 _PLACEHOLDER = re.compile(
-    r"^[\W_]*$|^(.)\1{3,}$|<[^<>]*>|\$\{|\$\(|\{\{|%\(|%s|%\w$|^\$\w+$|^\{\w*\}$|^@\w+@$|\b(?:process\.env|os\.environ|getenv|env\.|vault[:/]|secretsmanager|keyring|ssm:)|"
+    r"^[\W_]*$|^(.)\1{3,}$|<[^<>]*>|\$\{|\$\(|\{\{|%\(|^(?-i:%[sd])$|^%\w$|^\$\w+$|^\{\w*\}$|^@\w+@$|\b(?:process\.env|os\.environ|getenv|env\.|vault[:/]|secretsmanager|keyring|ssm:)|"
     r"^(?:todo|fixme|tbd|dummy|none|null|nil|true|false|test|testing|foo|bar|foobar|secret|token|password|passwd|pass|key|hidden|redacted|n/?a|empty|default|unset|string|value|your|my|admin|root|user|hunter2|letmein|example)[\W_\d]*$|"
     r"^(?:your|my|the|an?|insert|replace|change|put|enter|set|fill|add|use|not|fake|sample|demo|placeholder|example)[-_ ]?(?:me|real|with|this|here|in|your|api|secret|token|key|password|a|the)?(?:[-_ ].*)?$|x{4,}|\*{3,}|\.{3,}",
     re.I,
@@ -38,7 +38,14 @@ _URL = re.compile(r"\b[a-zA-Z][a-zA-Z0-9+.-]*://(?P<user>[^\s/:@\"'`<>?#]*):(?P<
 _PARAM = re.compile(r"[?&;](?P<name>[\w.-]+)=(?P<value>[^\s&\"'`<>#;]+)")
 _FLAG = re.compile(r"(?<![\w-])--?(?P<name>[A-Za-z][\w-]*)[= ]+(?P<q>[\"']?)(?P<value>[^\s\"'`]+)")
 _USERPW = re.compile(r"(?:(?<=\s)-u|--user|--proxy-user)[= ]+[\"']?[\w.@-]+:(?P<value>[^\s\"'`]+)")
-_BARE = re.compile(r"(?:^|[\s`\"'(,;{\[])(?:export\s+|set\s+)?(?P<name>[A-Za-z_][\w.-]*)\s*=\s*(?P<value>[^\s\"'`<>(){}\[\];,&]+)")
+#: Prose that speaks of a credential, in a comment or a text.
+_PROSE = re.compile(r"^\s*(?:#|//|/\*|\*|--|<!--|;)|^[A-Za-z]+(?: [\w'-]+){4,}[^=(){};\[\]]*$")
+_PROSE_WORD = re.compile(r"(?i)\b(?:tokens?|keys?|secrets?|password|passwd|pwd|pass|passphrase|phrase|pin|credentials?|login|log-in|vault)\b")
+_PIECE = re.compile(r"[^\s\"'`,;()<>{}]{8,}")
+_JOINED_WORDS = re.compile(r"^[A-Za-z]+[-_.+][A-Za-z]+\d{3,}\W{0,2}$|^[A-Za-z]+(?:[-.+][A-Za-z]+){2,}[-.+]\d+$")
+#: A pass phrase of plain words with a number at the end of a line of prose.
+_PHRASE = re.compile(r"(?:\bis|[:/])\s+(?P<value>(?:[a-z]+ ){3,}\d{1,4})\s*(?:\*/|-->)?$")
+_BARE = re.compile(r"(?:^|[\s`\"'(,;{\[])(?:export\s+|set\s+)?(?P<name>[A-Za-z_][\w.-]*)\s*=\s*(?P<value>(?:(?i:bearer|basic)\s+)?[^\s\"'`<>(){}\[\];,&]+)")
 _YAML = re.compile(r"^\s*(?:-\s+)?(?P<name>[A-Za-z_][\w.-]*)\s*:\s+(?P<value>[^\s\"'`|>{\[&*#][^\n]*?)(?:\s+#.*)?$")
 _LITERAL = re.compile(r"(?P<q>[\"'`])(?P<value>(?:(?!(?P=q))[^\\\n]|\\.)*)(?P=q)")
 #: What stands between a name and its literal: an assignment, a type in between, a comparison, a colon or a comma after a quoted name.
@@ -47,7 +54,7 @@ _TO_QUOTED = re.compile(r"[\"'`](?P<name>[A-Za-z_][\w.-]*)[\"'`]\s*,\s*$")
 #: A literal that something is compared with: only a long residual counts there.
 _TO_COMPARE = re.compile(r"[=!]==?\s*$|\bequals\(\s*$|\bcompare\w*\([^()]*,\s*$")
 _TO_CALL = re.compile(r"\b(?P<call>\w*(?:login|log_?in|connect|open_?link|auth\w*|sign_?in|dial|bind)\w*)\s*\(\s*[\"'`](?P<user>[^\"'`]*)[\"'`]\s*,\s*$", re.I)
-_HINT = re.compile(r"pass|pwd|\bpw\b|_pw|pw_|Pw|PW|secret|token|key|auth|cred|bearer|seed|login|link|connect|\bpin\b|pem|jwt|://|AKIA|ASIA|AIza|eyJ|gl\w+-|gh\w_|xox|sk[-_]|basic |-u |cookie|PRIVATE|npm_|hf_|SG\.|dial|bind", re.I)
+_HINT = re.compile(r"pass|pwd|\bpw\b|_pw|pw_|Pw|PW|secret|token|key|auth|cred|bearer|seed|login|link|connect|\bpin\b|pem|jwt|://|AKIA|ASIA|AIza|eyJ|gl\w+-|gh\w_|xox|sk[-_]|basic |-u |cookie|PRIVATE|npm_|hf_|SG\.|dial|bind|phrase|vault", re.I)
 _HEX = re.compile(r"^[0-9a-fA-F]+$")
 _UUID = re.compile(r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")
 _NAME_WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
@@ -94,10 +101,16 @@ def _unexplained(value: str) -> bool:
     return len(value) >= 20 and not re.search(r"\s", value) and _model().residual(value)[1] >= min(16, len(value) // 2)
 
 
+def _dense(value: str) -> bool:
+    """A piece of letters mixed with digits and signs."""
+    digits, both = sum(c.isdigit() for c in value), bool(re.search(r"[a-z].*[A-Z]|[A-Z].*[a-z]", value)) and len(value) >= 10
+    return len(re.findall(r"[A-Za-z]", value)) >= 3 and (digits >= 2 or digits == 1 and both) and bool(re.search(r"[!#%^&*@$~?+]", value)) and not re.search(r"[=\[\]|]|&&", value)
+
+
 def usable(value: str, named: bool) -> bool:
     """Whether the literal is a credential; ``named``: its context names one."""
     v = value.strip()
-    scheme = re.match(r"^(bearer|basic|token|digest|apikey)\s+(.*)$", v, re.I)
+    scheme = re.match(r"^(bearer|basic|token|apikey)\s+(\S+)$", v, re.I)
     if scheme:
         v, named = scheme.group(2).strip(), True
         if scheme.group(1).lower() == "basic":
@@ -116,7 +129,7 @@ def usable(value: str, named: bool) -> bool:
     blanks = v.count(" ")
     if blanks:
         # pass phrases: several plain words with a number or sign, but no sentence
-        return blanks >= 3 and digits > 0 and not v.endswith((".", ":", "?"))
+        return blanks >= 3 and digits > 0 and not v.endswith((".", ":", "?")) and not re.search(r"[(){}:]", v)
     total, run = _model().residual(v)
     if digits and letters:
         return len(v) >= 8 and (digits >= 2 or run >= 5)
@@ -151,6 +164,9 @@ def _in_line(line: str) -> list[tuple[int, int]]:
     for m in _LITERAL.finditer(line):
         if len(m.group("value")) < 6:
             continue
+        if (inner := re.match(r"([A-Za-z_][\w.-]*)=(.+)$", m.group("value"))) and usable(inner.group(2), _secret_name(inner.group(1))):
+            out.append((m.start("value") + inner.start(2), m.end("value")))
+            continue
         before = line[max(0, m.start() - 160) : m.start()]
         n = _TO_NAME.search(before) or _TO_QUOTED.search(before)
         named = bool(n) and _secret_name(n.group("name"))
@@ -161,6 +177,16 @@ def _in_line(line: str) -> list[tuple[int, int]]:
         if not named and _TO_COMPARE.search(before) and _unexplained(m.group("value")):
             named = True
         put(m, named)
+    if _PROSE.match(line) and _PROSE_WORD.search(line) and not re.search(r"(?i)\b(?:sha-?\d*|md5|commit|digest|checksum|uuid|public|hash)\b", line):
+        for m in _PIECE.finditer(line):
+            v = m.group().rstrip(".:") if not _JOINED_WORDS.match(m.group()) else m.group()
+            if "://" in v or "=" in v or _is_path(v) or _from_store(v) or _UUID.match(v):
+                continue
+            hex_key = _HEX.match(v) and len(v) >= 24 and not v.isdigit()
+            if hex_key or _unexplained(v) or _dense(v) or _JOINED_WORDS.match(v) and len(v) >= 10 or len(v) >= 12 and _model().residual(v)[1] >= 9 and sum(c.isdigit() for c in v) >= 2:
+                out.append((m.start(), m.start() + len(v)))
+        for m in _PHRASE.finditer(line):
+            put(m, True)
     for m in _BARE.finditer(line):
         put(m, _secret_name(m.group("name")))
     if m := _YAML.match(line):
