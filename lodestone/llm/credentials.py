@@ -48,6 +48,7 @@ _PHRASE = re.compile(r"(?:\bis|[:/])\s+(?P<value>(?:[a-z]+ ){3,}\d{1,4})\s*(?:\*
 _BARE = re.compile(r"(?:^|[\s`\"'(,;{\[])(?:export\s+|set\s+)?(?P<name>[A-Za-z_][\w.-]*)\s*=\s*(?P<value>(?:(?i:bearer|basic)\s+)?[^\s\"'`<>(){}\[\];,&]+)")
 _YAML = re.compile(r"^\s*(?:-\s+)?(?P<name>[A-Za-z_][\w.-]*)\s*:\s+(?P<value>[^\s\"'`|>{\[&*#][^\n]*?)(?:\s+#.*)?$")
 _LITERAL = re.compile(r"(?P<q>[\"'`])(?P<value>(?:(?!(?P=q))[^\\\n]|\\.)*)(?P=q)")
+_CONCAT = re.compile(r"(?:\"[^\"\\\n]*\"|'[^'\\\n]*')(?:\s*\+\s*(?:\"[^\"\\\n]*\"|'[^'\\\n]*'))+")
 #: What stands between a name and its literal: an assignment, a type in between, a comparison, a colon or a comma after a quoted name.
 _TO_NAME = re.compile(r"(?P<name>[A-Za-z_$][\w$.-]*)(?:\[\w*\])?[\"'`]?\]?\s*(?::\s*[&\w\[\]<>|' ]+?)?\s*(?:=>|:=|==|!=|=|:)\s*(?:[bruf]{0,2})$")
 _TO_QUOTED = re.compile(r"[\"'`](?P<name>[A-Za-z_][\w.-]*)[\"'`]\s*,\s*$")
@@ -132,7 +133,7 @@ def usable(value: str, named: bool) -> bool:
         return blanks >= 3 and digits > 0 and not v.endswith((".", ":", "?")) and not re.search(r"[(){}:]", v)
     total, run = _model().residual(v)
     if digits and letters:
-        return len(v) >= 8 and (digits >= 2 or run >= 5)
+        return len(v) >= 8 and (digits >= 2 or run >= 5 or bool(_JOINED_WORDS.match(v)))
     if letters and not digits:
         if re.search(r"[\[\](){}=<>]", v):
             return False
@@ -161,6 +162,12 @@ def _in_line(line: str) -> list[tuple[int, int]]:
         put(m, _secret_name(m.group("name")))
     for m in _USERPW.finditer(line):
         put(m, True)
+    for m in _CONCAT.finditer(line):
+        # one literal in several pieces
+        pieces = list(_LITERAL.finditer(line, m.start(), m.end()))
+        n = _TO_NAME.search(line[max(0, m.start() - 160) : m.start()])
+        if n and not _speaks_of_other(n.group("name")) and usable("".join(x.group("value") for x in pieces), _secret_name(n.group("name"))):
+            out += [x.span("value") for x in pieces]
     for m in _LITERAL.finditer(line):
         if len(m.group("value")) < 6:
             continue
@@ -168,10 +175,11 @@ def _in_line(line: str) -> list[tuple[int, int]]:
             out.append((m.start("value") + inner.start(2), m.end("value")))
             continue
         before = line[max(0, m.start() - 160) : m.start()]
+        if (c := _TO_CALL.search(before)) and c.group("user"):
+            put(m, True)
+            continue
         n = _TO_NAME.search(before) or _TO_QUOTED.search(before)
         named = bool(n) and _secret_name(n.group("name"))
-        if not named and (c := _TO_CALL.search(before)):
-            named = bool(c.group("user"))
         if n and _speaks_of_other(n.group("name")):
             continue
         if not named and _TO_COMPARE.search(before) and _unexplained(m.group("value")):
