@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -17,7 +20,13 @@ class Registry:
     def add(self, name: str, sql: str | None = None) -> Callable[[Query], Query]:
         def put(f: Query) -> Query:
             assert name not in self.queries, name
-            self.queries[name] = f
+
+            @functools.wraps(f)
+            def run(spark: SparkSession, root: str) -> DataFrame:
+                ship(spark)
+                return f(spark, root)
+
+            self.queries[name] = run
             if sql:
                 self.sql[name] = sql
             return f

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "lodestone", master: str = "local[8]", partitions: int = 8) -> SparkSession:
     """A session with AQE, UTC and a shuffle width that suits a single node."""
-    return (
+    spark = (
         SparkSession.builder.appName(app)
         .master(master)
         .config("spark.sql.shuffle.partitions", str(partitions))
@@ -21,6 +23,8 @@ def build_session(app: str = "lodestone", master: str = "local[8]", partitions:
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
+    ship(spark)
+    return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -55,3 +59,26 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """
     width = max(shuffle_width(df.sparkSession), df.sparkSession.sparkContext.defaultParallelism)
     return df.repartition(width, key) if df.rdd.getNumPartitions() < width else df
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Lets the executors import this package: sends it to them as one archive, once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(here):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    z.write(os.path.join(folder, n), os.path.relpath(os.path.join(folder, n), os.path.dirname(here)))
+    # the driver's own copy; Spark hands it out to the executors
+    at = os.path.join(tempfile.mkdtemp(prefix="lodestone-"), "lodestone.zip")
+    with open(at, "wb") as f:
+        f.write(buffer.getvalue())
+    sc.addPyFile(at)
+    _SHIPPED.add(sc.applicationId)
