@@ -134,21 +134,21 @@ def _vectors(column: pa.Array) -> np.ndarray:
 
 
 def _keep_best(pairs: DataFrame, k: int) -> DataFrame:
-    """(a, b, sim) -> the k best b of every a, ties to the smaller id."""
+    """(a, b, sim, fresh) -> the k best b of every a, ties to the smaller id; a pair that was known isn't fresh."""
     w = Window.partitionBy("a").orderBy(F.desc(F.round("sim", 9)), "b")
-    one = pairs.groupBy("a", "b").agg(F.max("sim").alias("sim"))
+    one = pairs.groupBy("a", "b").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
     return one.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
 
 
 def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (centre, part, b, worst, v), whole centres in order: compares the members of every centre."""
+    """Rows (centre, part, b, worst, fresh, v), whole centres in order: compares their members, but for pairs that are both known."""
     names = ["a", "b", "sim"]
     rest: pa.Table | None = None
 
     def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
         t = t.combine_chunks()
         centre, part = t.column("centre").to_numpy(), t.column("part").to_numpy()
-        ids, worst = t.column("b").to_numpy(), t.column("worst").to_numpy()
+        ids, worst, fresh = t.column("b").to_numpy(), t.column("worst").to_numpy(), t.column("fresh").to_numpy().astype(bool)
         x = _vectors(t.column("v").chunk(0)) if t.num_rows else None
         cuts = np.nonzero((centre[1:] != centre[:-1]) | (part[1:] != part[:-1]))[0] + 1
         a_out, b_out, s_out = [], [], []
@@ -156,8 +156,8 @@ def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if j - i < 2:
                 continue
             s = x[i:j] @ x[i:j].T
-            w = worst[i:j]
-            p, q = np.nonzero(np.triu((s > w[:, None]) | (s > w[None, :]), 1))
+            w, new = worst[i:j], fresh[i:j]
+            p, q = np.nonzero(np.triu(((s > w[:, None]) | (s > w[None, :])) & (new[:, None] | new[None, :]), 1))
             if len(p):
                 a_out.append(ids[i:j][p])
                 b_out.append(ids[i:j][q])
@@ -188,9 +188,10 @@ def _descend(graph: DataFrame, packed: DataFrame, k: int, chunk: int) -> DataFra
     full = graph.groupBy(F.col("a").alias("b")).agg(F.count("*").alias("n"))
     known = packed.withColumnRenamed("vec_id", "b").join(worst, "b", "left").join(full, "b", "left").withColumn("worst", F.when(F.col("n") >= k, F.col("worst")).otherwise(F.lit(-2.0))).drop("n")
     back = graph.groupBy(F.col("b").alias("centre")).agg(F.ceil(F.count("*") / chunk).cast("int").alias("parts"))
-    forward = graph.select(F.col("a").alias("centre"), "b").join(back, "centre", "left").select("centre", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), "b")
-    reverse = graph.select(F.col("b").alias("centre"), F.col("a").alias("b")).join(back, "centre").select("centre", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
-    around = forward.unionByName(reverse).distinct().join(known, "b").select("centre", "part", "b", "worst", "v")
+    forward = graph.select(F.col("a").alias("centre"), "b", "fresh").join(back, "centre", "left").select("centre", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), "b", "fresh")
+    reverse = graph.select(F.col("b").alias("centre"), F.col("a").alias("b"), "fresh").join(back, "centre").select("centre", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b", "fresh")
+    near = forward.unionByName(reverse).groupBy("centre", "part", "b").agg(F.max("fresh").alias("fresh"))
+    around = near.join(known, "b").select("centre", "part", "b", "worst", F.col("fresh").cast("int").alias("fresh"), "v")
     around = around.repartition("centre", "part").sortWithinPartitions("centre", "part")
     better = around.mapInArrow(_around, "a bigint, b bigint, sim double").groupBy("a", "b").agg(F.max("sim").alias("sim"))
     return better.unionByName(better.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
@@ -208,8 +209,11 @@ def pack(reps: DataFrame) -> DataFrame:
     return reps.select("vec_id", "embedding").mapInArrow(run, "vec_id bigint, v binary")
 
 
-def neighbour_graph(packed: DataFrame, k: int = 12, trees: int = 3, rounds: int = 2, leaf: int = 256, sample: int = 20_000, chunk: int = 24) -> DataFrame:
-    """(vec_id, v) -> (a, b, sim): about the k nearest b of every a."""
+def neighbour_graph(packed: DataFrame, k: int = 12, trees: int = 3, rounds: int = 8, settled: float = 0.02, leaf: int = 256, sample: int = 20_000, chunk: int = 24) -> DataFrame:
+    """(vec_id, v) -> (a, b, sim): about the k nearest b of every a.
+
+    Rounds end when fewer than ``settled`` of the neighbours are new, at the latest after ``rounds``.
+    """
     n = packed.count()
     if n < 2:
         return packed.sparkSession.createDataFrame([], "a bigint, b bigint, sim double")
@@ -218,10 +222,14 @@ def neighbour_graph(packed: DataFrame, k: int = 12, trees: int = 3, rounds: int
     x = np.stack([np.frombuffer(r[0], dtype=np.float64) for r in rows]) if rows else np.zeros((0, 64))
     depth = max(0, min(int(np.ceil(np.log2(max(1.0, n / leaf)))), int(np.log2(max(1, len(x) // 12)))))
     forest = Forest(x if len(x) else np.zeros((1, 64)), depth, trees)
-    graph = cut(_keep_best(_first_graph(packed, forest, k, 2 * leaf), k))
+    graph = cut(_keep_best(_first_graph(packed, forest, k, 2 * leaf).withColumn("fresh", F.lit(True)), k))
     for _ in range(rounds):
-        graph = cut(_keep_best(graph.unionByName(_descend(graph, packed, k, chunk)), k))
-    return graph
+        known = graph.withColumn("fresh", F.lit(False))
+        graph = cut(_keep_best(known.unionByName(_descend(graph, packed, k, chunk).withColumn("fresh", F.lit(True))), k))
+        total, new = graph.agg(F.count("*"), F.count_if("fresh")).first()
+        if new <= settled * total:
+            break
+    return graph.select("a", "b", "sim")
 
 
 def similar_pairs(vectors: DataFrame, top: int = 5, least: float = 0.9, dim: int = 64, **graph_options) -> DataFrame:
