@@ -97,20 +97,17 @@ def _keys(words: np.ndarray) -> np.ndarray:
     return k
 
 
-def _align(doc: np.ndarray, test: np.ndarray, first: int) -> tuple[int, int]:
-    """Fewest word edits that turn some stretch of the text into the test, of both sentences, and of the worse one."""
+def _align(doc: np.ndarray, test: np.ndarray) -> int:
+    """Fewest word edits that turn some stretch of the text into the test."""
     n = len(doc)
     row = np.zeros(n + 1, dtype=np.int64)  # a match may begin anywhere
     at = np.arange(n + 1)
-    mid = None
-    for k, w in enumerate(test, 1):
+    for w in test:
         new = np.empty(n + 1, dtype=np.int64)
         new[0] = row[0] + 1
         np.minimum(row[:-1] + (doc != w), row[1:] + 1, out=new[1:])
         row = np.minimum.accumulate(new - at) + at  # words put in
-        if k == first:
-            mid = row.copy()
-    return int(row.min()), int(mid.min())
+    return int(row.min())
 
 
 class Shard:
@@ -125,31 +122,44 @@ class Shard:
         self.words = np.concatenate([x for r in rows for x in (r, gap)]) if rows else np.zeros(0, dtype=np.int64)
         keys = _keys(self.words)
         live = np.nonzero(keys)[0]
-        # only suffixes that begin with three words of some test can match: leave out the rest before sorting
-        live = live[np.isin(keys[live], tests.keys)] if len(live) else live
-        order = np.argsort(keys[live], kind="stable")
-        self.suffixes, self.sorted = live[order], keys[live][order]
-
-    def search(self, most_edits: float = 0.2) -> Iterator[tuple[int, int]]:
+        # only suffixes that begin with three words of some test can match: the rest is left out before sorting
+        self.at = live[np.isin(keys[live], tests.keys)] if len(live) else live
+        self.keys = keys[self.at]
+
+    def _ranges(self, most_hits: int) -> Iterator[tuple[int, int]]:
+        """Stretches of suffixes with a bounded number of matches; they overlap by more than any test is long."""
+        known, often = np.unique(self.tests.keys, return_counts=True)
+        total = np.cumsum(often[np.searchsorted(known, self.keys)])
+        overlap = 2 * int(self.tests.len.max()) + 64
+        i = 0
+        while i < len(self.at):
+            j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + most_hits, "right")))
+            yield i, j
+            if j >= len(self.at):
+                return
+            i = max(i + 1, min(j, int(np.searchsorted(self.at, self.at[j] - overlap))))
+
+    def search(self, most_edits: float = 0.2, most_hits: int = 4_000_000) -> Iterator[tuple[int, int]]:
         t = self.tests
-        lo, hi = np.searchsorted(self.sorted, t.keys, "left"), np.searchsorted(self.sorted, t.keys, "right")
         found: set[tuple[int, int]] = set()
-        n = hi - lo
-        step_at = np.concatenate([[0], np.nonzero(np.diff(np.cumsum(n) // 4_000_000))[0] + 1, [len(n)]])
-        parts = []
-        for a, b in zip(step_at[:-1], step_at[1:]):  # the hits of some test suffixes at a time
-            m = n[a:b]
+        if not len(self.at) or not len(t.keys):
+            return
+        for i, j in self._ranges(most_hits):
+            order = np.argsort(self.keys[i:j], kind="stable")
+            suffixes, ordered = self.at[i:j][order], self.keys[i:j][order]
+            lo, hi = np.searchsorted(ordered, t.keys, "left"), np.searchsorted(ordered, t.keys, "right")
+            m = hi - lo
             if not m.sum():
                 continue
-            which = np.repeat(np.arange(a, b), m)
-            at = self.suffixes[np.repeat(lo[a:b], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)]
-            p, q = t.where[which, 0], t.where[which, 1]
-            parts.append(np.unique(np.stack([p, np.searchsorted(self.starts, at, "right") - 1, (at - q + 1024) // 12, at]), axis=1))
-        if not parts:
-            return
-        p, d, diag, at = np.concatenate(parts, axis=1)
-        order = np.lexsort((at, diag, d, p))
-        p, d, diag, at = p[order], d[order], diag[order], at[order]
+            which = np.repeat(np.arange(len(m)), m)
+            at = suffixes[np.repeat(lo, m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)]
+            yield from self._verify(t.where[which, 0], t.where[which, 1], at, most_edits, found)
+
+    def _verify(self, p: np.ndarray, q: np.ndarray, at: np.ndarray, most_edits: float, found: set[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+        """Matches (pair, word in it, word of the texts) -> leaks."""
+        t = self.tests
+        d, diag = np.searchsorted(self.starts, at, "right") - 1, (at - q + 1024) // 12
+        p, d, diag, at = np.unique(np.stack([p, d, diag, at]), axis=1)  # in this order
         # words covered by the matches on a diagonal band: each match adds the words that the one before didn't cover
         new = np.concatenate([[True], (p[1:] != p[:-1]) | (d[1:] != d[:-1]) | (diag[1:] != diag[:-1])])
         add = np.where(new, LEAST_RUN, np.minimum(LEAST_RUN, np.diff(at, prepend=at[0])))
@@ -168,8 +178,7 @@ class Shard:
                 continue
             begin = int(bdiag[i]) * 12 - 1024
             a, b = max(self.starts[bd[i]], begin - 24), min(self.starts[bd[i] + 1] - 1, begin + len(words) + 36)
-            edits, edits_first = _align(self.words[a:b], words, cut)
-            if edits <= most_edits * len(words):
+            if _align(self.words[a:b], words) <= most_edits * len(words):
                 found.add(key)
                 yield key
 

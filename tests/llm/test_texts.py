@@ -94,6 +94,12 @@ def test_filter_before_alignment_loses_nothing(data):
     assert leaked("Before it. " + " ".join(words) + " After it.") == {(0, 1)}
 
 
+def test_long_and_repetitive_texts_are_searched_in_stretches():
+    rows = [" ".join([S1.rsplit(" ", 3)[0]] * 300 + [S1, S2] + [S2.split(" ", 4)[4]] * 300), S1 + " " + S2, "count the ways to hang " * 4000]
+    tests = L.TestSet(ITEMS)
+    assert set(L.Shard(tests, rows).search()) == set(L.Shard(tests, rows).search(most_hits=500)) == {(0, 1), (1, 1)}
+
+
 def test_find_leaks_in_blocks(spark):
     docs = spark.createDataFrame([(1, S1 + " " + S2), (2, S1 + " " + S2), (2, S1 + " " + S2), (3, None), (4, "")], "doc_id bigint, text string")
     items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
