@@ -40,6 +40,7 @@ _QUOTE_MARK = re.compile(r"^[ \t]*(?:>[ \t]?)+|^[ \t]*(?:[-*+]|\d+[.)])[ \t]+",
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
 _SENTENCE_END = re.compile(r"(?<=[.!?])[\"'”’)]*\s+(?=\S)")
 LEAST_RUN = 3
+MOST_IN_ONE = 0.34  #: edits in one of the two sentences, as a share of its words
 _BITS = 20  # bits of a word number in a key of three words
 
 
@@ -178,7 +179,9 @@ class Shard:
                 continue
             begin = int(bdiag[i]) * 12 - 1024
             a, b = max(self.starts[bd[i]], begin - 24), min(self.starts[bd[i] + 1] - 1, begin + len(words) + 36)
-            if _align(self.words[a:b], words) <= most_edits * len(words):
+            doc = self.words[a:b]
+            # both sentences must be there: a quotation of one beside a text that only resembles the other is none
+            if _align(doc, words) <= most_edits * len(words) and all(_align(doc, x) <= MOST_IN_ONE * len(x) for x in (words[:cut], words[cut:])):
                 found.add(key)
                 yield key
 
