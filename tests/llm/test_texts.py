@@ -89,7 +89,8 @@ def test_leaks():
 def test_filter_before_alignment_loses_nothing(data):
     words = (S1 + " " + S2).split()
     n = len(L.plain_words(S1 + " " + S2))
-    for i in data.draw(st.lists(st.integers(0, len(words) - 1), max_size=int(0.2 * n), unique=True)):
+    cut = len(S1.split())
+    for i in data.draw(st.lists(st.integers(0, len(words) - 1), max_size=int(0.2 * n), unique=True).filter(lambda x: all(sum(lo <= i < hi for i in x) <= L.MOST_IN_ONE * (hi - lo) for lo, hi in ((0, cut), (cut, len(words)))))):
         words[i] = "zzz"
     assert leaked("Before it. " + " ".join(words) + " After it.") == {(0, 1)}
 
