@@ -31,8 +31,11 @@ def term_weights(p: DataFrame, n_docs: DataFrame) -> DataFrame:
     return df.select("term", "df", F.when(F.col("raw") < 0, mean.scalar() * fixed.BM25_EPSILON).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25(p: DataFrame, n_docs: DataFrame, mean_length: DataFrame, queries: DataFrame, most: int) -> DataFrame:
-    """queries(query_id, text) -> query_id, id, score, rank0: the ``most`` best; a repeated query token counts each time."""
+def bm25(p: DataFrame, n_docs: DataFrame, mean_length: DataFrame, queries: DataFrame, most: int, positive: bool = False) -> DataFrame:
+    """queries(query_id, text) -> query_id, id, score, rank0: the ``most`` best; a repeated query token counts each time.
+
+    ``positive`` leaves out scores of 0 and less before the lists are cut.
+    """
     q = queries.select("query_id", F.explode(T.search_tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
     k1, b = fixed.BM25_K1, fixed.BM25_B
     w = term_weights(p, n_docs)

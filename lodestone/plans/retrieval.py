@@ -55,8 +55,8 @@ class Lexical:
         self.n = x.agg(F.count("*"))
         self.mean = self.postings.select("id", "dl").distinct().agg(F.avg("dl"))
 
-    def search(self, q, most):
-        return S.bm25(self.postings, self.n, self.mean, q, most)
+    def search(self, q, most, positive=False):
+        return S.bm25(self.postings, self.n, self.mean, q, most, positive)
 
 
 @R.add("tokenize_freq", f"SELECT term, count(*)::BIGINT AS n, count(DISTINCT id)::BIGINT AS documents FROM (SELECT doc_id AS id, unnest({tok_sql('text')}) AS term FROM {DOCS}) GROUP BY term")
@@ -127,8 +127,7 @@ def hybrid_queries(spark, d):
 
 def lexical_lists(spark, d):
     q = hybrid_queries(spark, d)
-    hits = Lexical(spark, d).search(q, 10**9).where("score > 0")
-    return S.ranked(hits.drop("rank0"), "query_id", "score", "id", fixed.CANDIDATE_POOL)
+    return Lexical(spark, d).search(q, fixed.CANDIDATE_POOL, positive=True)
 
 
 def fused(spark, d):
