@@ -102,12 +102,12 @@ def vector_lists(spark, d):
     return S.nearest(vectors(spark, d), vector_queries(spark, d), fixed.CANDIDATE_POOL)
 
 
-@R.add("vector_topk", f"WITH {_VEC} SELECT query_id, id, round(sim, 5) AS sim, rank0::INT AS rank0 FROM vec")
+@R.add("vector_topk", f"WITH {_VEC} SELECT query_id, id, round(sim, 5) + 0.0 AS sim, rank0::INT AS rank0 FROM vec")
 def vector_topk(spark, d):
     return vector_lists(spark, d).select("query_id", "id", F.round("sim", 5).alias("sim"), "rank0")
 
 
-@R.add("vector_norms", f"SELECT id, round(sqrt(list_dot_product(e, e)), 5) AS norm, round(e[1] / CASE WHEN list_dot_product(e, e) = 0 THEN 1 ELSE sqrt(list_dot_product(e, e)) END, 5) AS first_unit FROM {EMB}")
+@R.add("vector_norms", f"SELECT id, round(sqrt(list_dot_product(e, e)), 5) AS norm, round(e[1] / CASE WHEN list_dot_product(e, e) = 0 THEN 1 ELSE sqrt(list_dot_product(e, e)) END, 5) + 0.0 AS first_unit FROM {EMB}")
 def vector_norms(spark, d):
     e = F.col("embedding")
     return vectors(spark, d).select("id", F.round(F.sqrt(T.dot(e, e)), 5).alias("norm"), F.round(F.element_at(T.unit(e), 1), 5).alias("first_unit"))

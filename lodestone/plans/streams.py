@@ -163,7 +163,7 @@ def eval_tags(spark, d):
     return b.where(F.arrays_overlap(F.split("suite", "-"), F.array(F.lit("puzzle"), F.lit("x")))).select("item_id")
 
 
-@R.add("rank_margin", f"WITH {_BM}, {_scores(QUERIES)}, r AS (SELECT *, {_RANK.format(s='score')} AS rank0 FROM sc) SELECT query_id, round(max(CASE WHEN rank0 = 0 THEN score END) - coalesce(max(CASE WHEN rank0 = 1 THEN score END), 0), 6) AS margin FROM r WHERE rank0 < 2 GROUP BY query_id")
+@R.add("rank_margin", f"WITH {_BM}, {_scores(QUERIES)}, r AS (SELECT *, {_RANK.format(s='score')} AS rank0 FROM sc) SELECT query_id, round(max(CASE WHEN rank0 = 0 THEN score END) - coalesce(max(CASE WHEN rank0 = 1 THEN score END), 0), 6) + 0.0 AS margin FROM r WHERE rank0 < 2 GROUP BY query_id")
 def rank_margin(spark, d):
     r = Lexical(spark, d).search(queries(spark, d), 2)
     w = Window.partitionBy("query_id").orderBy("rank0")
