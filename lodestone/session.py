@@ -53,11 +53,12 @@ def shuffle_width(spark: SparkSession) -> int:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """For CPU-bound stages on inputs with fewer partitions than the shuffle width: hash-partitions by ``key``.
+    """For CPU-bound stages on inputs with fewer partitions than the cluster can work on: hash-partitions by ``key``.
 
-    Large inputs come in more partitions than that and stay as they are.
+    Large inputs come in more partitions than a few per core and stay as they are.
     """
-    width = max(shuffle_width(df.sparkSession), df.sparkSession.sparkContext.defaultParallelism)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    width = max(cores, min(shuffle_width(df.sparkSession), 4 * cores))
     return df.repartition(width, key) if df.rdd.getNumPartitions() < width else df
 
 
@@ -76,9 +77,13 @@ def ship(spark: SparkSession) -> None:
             for n in sorted(names):
                 if n.endswith(".py"):
                     z.write(os.path.join(folder, n), os.path.relpath(os.path.join(folder, n), os.path.dirname(here)))
-    # the driver's own copy; Spark hands it out to the executors
-    at = os.path.join(tempfile.mkdtemp(prefix="lodestone-"), "lodestone.zip")
-    with open(at, "wb") as f:
-        f.write(buffer.getvalue())
+    # into the shared folder, from which Spark hands it out to the executors
+    at = f"{ensure_checkpoint_dir(spark)}/lodestone-{sc.applicationId}.zip"
+    path = sc._jvm.org.apache.hadoop.fs.Path(at)
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path, True)
+    try:
+        out.write(bytearray(buffer.getvalue()))
+    finally:
+        out.close()
     sc.addPyFile(at)
     _SHIPPED.add(sc.applicationId)
