@@ -36,7 +36,8 @@ def multi_hop(edges: DataFrame, seeds: DataFrame, hops: int, kinds: list[str] |
     seen, out = front.select("seed", "id"), None
     for hop in range(1, hops + 1):
         nxt = front.join(e, "id").select("seed", F.col("to").alias("id"), (F.col("weight") + F.col("w")).alias("weight")).groupBy("seed", "id").agg(F.max("weight").alias("weight"))
-        front = cut(nxt.join(seen, ["seed", "id"], "left_anti"))
+        front = nxt.join(seen, ["seed", "id"], "left_anti")
+        front = cut(front) if hop < hops else front  # what the last hop reaches is read once only
         part = front.withColumn("hop", F.lit(hop))
         out = part if out is None else out.unionByName(part)
         seen = seen.unionByName(front.select("seed", "id"))

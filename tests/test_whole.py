@@ -2,7 +2,7 @@
 
 import pyspark.sql.functions as F
 
-from lodestone.plans import streams
+from lodestone.plans import graphs, streams
 
 
 def test_every_document_is_wanted(spark, tmp_path, monkeypatch):
@@ -14,3 +14,14 @@ def test_every_document_is_wanted(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(streams, "queries", lambda *_: None)
     got = streams.cases(spark, root).select("case_id", F.col("recall"), "rr", "passed").collect()
     assert [tuple(r) for r in got] == [(1, 0.25, 1.0, True)]
+
+
+def test_hops_start_from_every_file(spark, tmp_path):
+    root = str(tmp_path)
+    n = [("file:r/src/a.py", "File", "a", "r/src/a.py"), ("file:r/lib/b.py", "File", "b", "r/lib/b.py"), ("sym:x", "Symbol", "x", "r/lib/b.py")]
+    spark.createDataFrame([(*r, 1, "r", None, None) for r in n], "id string, kind string, name string, file string, line int, repo string, created_at timestamp_ntz, removed_at timestamp_ntz").write.parquet(f"{root}/nodes.parquet")
+    e = [(1, "file:r/src/a.py", "sym:x", "DEFINES", 1, 1.0), (2, "file:r/lib/b.py", "sym:x", "DEFINES", 1, 2.0), (3, "sym:x", "sym:y", "CALLS", 1, 0.5)]
+    spark.createDataFrame(e, "edge_id bigint, src_id string, dst_id string, kind string, line int, weight double").write.parquet(f"{root}/edges.parquet")
+    one = {("file:r/src/a.py", "sym:x", 1, 1.0), ("file:r/lib/b.py", "sym:x", 1, 2.0)}
+    assert {tuple(r) for r in graphs.multi_hop_1_all(spark, root).collect()} == one
+    assert {tuple(r) for r in graphs.multi_hop_2_all(spark, root).collect()} == one | {("file:r/src/a.py", "sym:y", 2, 1.5), ("file:r/lib/b.py", "sym:y", 2, 2.5)}
