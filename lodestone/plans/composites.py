@@ -135,15 +135,25 @@ def block_format(spark, d):
     return m.select("chunk_id", F.md5(F.concat(head, F.lit("\n\n```\n"), "doc", F.lit("\n```"))).alias("block_md5"))
 
 
-@R.add("seed_sections", f"WITH q AS (SELECT doc_id AS query_id, lower(substr(coalesce(text, ''), 1, 60)) AS l FROM {DOCS}) SELECT query_id, CASE WHEN {_any('l', fixed.HOW_PHRASES)} THEN ['map', 'retrieval'] WHEN {_any('l', fixed.DEBUG_PHRASES)} THEN ['map', 'retrieval', 'changes'] ELSE ['retrieval'] END AS sections FROM q")
-def seed_sections(spark, d):
-    """Sections of a prompt by what its first words ask for."""
-    x = docs(spark, d).select(F.col("doc_id").alias("query_id"), F.lower(F.substring(F.coalesce("text", F.lit("")), 1, 60)).alias("l"))
+def _sections(x, text):
+    x = x.select(F.col("doc_id").alias("query_id"), F.lower(text).alias("l"))
     how, debug = T.any_phrase(F.col("l"), fixed.HOW_PHRASES), T.any_phrase(F.col("l"), fixed.DEBUG_PHRASES)
     lists = [F.array(*[F.lit(x) for x in s]) for s in (["map", "retrieval"], ["map", "retrieval", "changes"], ["retrieval"])]
     return x.select("query_id", F.when(how, lists[0]).when(debug, lists[1]).otherwise(lists[2]).alias("sections"))
 
 
+@R.add("seed_sections", f"WITH q AS (SELECT doc_id AS query_id, lower(substr(coalesce(text, ''), 1, 60)) AS l FROM {DOCS}) SELECT query_id, CASE WHEN {_any('l', fixed.HOW_PHRASES)} THEN ['map', 'retrieval'] WHEN {_any('l', fixed.DEBUG_PHRASES)} THEN ['map', 'retrieval', 'changes'] ELSE ['retrieval'] END AS sections FROM q")
+def seed_sections(spark, d):
+    """Sections of a prompt by what its first words (60 characters) ask for."""
+    return _sections(docs(spark, d), F.substring(F.coalesce("text", F.lit("")), 1, 60))
+
+
+@R.add("seed_sections_all", f"WITH q AS (SELECT doc_id AS query_id, lower(coalesce(text, '')) AS l FROM {DOCS}) SELECT query_id, CASE WHEN {_any('l', fixed.HOW_PHRASES)} THEN ['map', 'retrieval'] WHEN {_any('l', fixed.DEBUG_PHRASES)} THEN ['map', 'retrieval', 'changes'] ELSE ['retrieval'] END AS sections FROM q")
+def seed_sections_all(spark, d):
+    """Sections of a prompt by what its whole text asks for."""
+    return _sections(docs(spark, d), F.coalesce("text", F.lit("")))
+
+
 @R.add("versioned_store", f"SELECT count(DISTINCT chunk_id)::BIGINT AS chunks, 2::BIGINT AS versions FROM {META} WHERE hash < '8'")
 def versioned_store(spark, d):
     """Two versions of a table written; the last one is read."""
