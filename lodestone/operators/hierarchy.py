@@ -10,6 +10,7 @@ Defined results
 * links with a null end are dropped; an id that links to itself is a cycle of length one;
 * repeated links count once; if an id has several parents, the smallest parent id is its parent;
 * an id on a cycle, or whose line of parents runs into one, has root ``CYCLE`` and depth -1;
+* the back edge of a cycle is the link into its smallest id; every cycle has one;
 * an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -74,7 +75,9 @@ def _walk(group: pd.DataFrame) -> pd.DataFrame:
         if at is None:
             r, d = line[-1], -1
         elif at in grey:
-            back[line[-1]] = at
+            ring = line[line.index(at) :]
+            low = ring.index(min(ring))
+            back[ring[low - 1]] = ring[low]
             r, d = CYCLE, None
         else:
             r, d = root[at], depth[at]
@@ -111,8 +114,12 @@ def _double(parents: DataFrame, max_rounds: int = 64) -> DataFrame:
         state = cut(state.join(hop, "up").select("id", F.col("up2").alias("up"), (F.col("steps") + F.col("steps2")).alias("steps"), "top"))
         if 2 ** (round_ + 1) > size:
             break
-    j = state.join(tops, state["up"] == tops["t"], "left")
-    return j.select(F.col("id").alias("node_id"), F.when(F.col("t").isNull(), CYCLE).otherwise(F.col("up")).alias("root_id"), F.when(F.col("t").isNull(), -1).otherwise(F.col("steps")).cast("int").alias("depth"), F.lit(None).cast("string").alias("back_edge_to"))
+    j = cut(state.join(tops, state["up"] == tops["t"], "left"))
+    # after that many steps every line has run into its cycle, and all ids of a cycle are the end of one
+    rings = cut(parents.join(j.where("t is null").select(F.col("up").alias("child")).distinct(), "child", "left_semi"))
+    out = j.select(F.col("id").alias("node_id"), F.when(F.col("t").isNull(), CYCLE).otherwise(F.col("up")).alias("root_id"), F.when(F.col("t").isNull(), -1).otherwise(F.col("steps")).cast("int").alias("depth"))
+    back = rings.join(components(rings).withColumnRenamed("id", "child"), "child").where("parent = component").select(F.col("child").alias("node_id"), F.col("parent").alias("back_edge_to"))
+    return out.join(back, "node_id", "left").select("node_id", "root_id", "depth", "back_edge_to")
 
 
 def build_hierarchy(links: DataFrame, co_locate: int = 100_000) -> DataFrame:
@@ -161,6 +168,11 @@ def ancestor_pairs(links: DataFrame, max_rounds: int = 64) -> DataFrame:
     raise RuntimeError(f"the closure did not end within {max_rounds} rounds")
 
 
+def descendant_pairs(links: DataFrame) -> DataFrame:
+    """ancestor, descendant, distance: every id with each id below it; on a cycle, with all others of the cycle."""
+    return ancestor_pairs(links).where("node_id <> ancestor").select("ancestor", F.col("node_id").alias("descendant"), "distance")
+
+
 def node_paths(links: DataFrame) -> DataFrame:
     """node_id, root_id, depth, path (root first, joined by `` > ``; null without a root) and descendants.
 

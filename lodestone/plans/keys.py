@@ -102,3 +102,26 @@ FROM ids LEFT JOIN t ON ids.id = t.id LEFT JOIN below ON below.anc = ids.id""",
 )
 def p7_paths(spark, d):
     return hierarchy.node_paths(_links(spark, d))
+
+
+@R.add(
+    "p7_descendants",
+    _TREE
+    + """, cl(node, anc, distance, seen) AS (SELECT c, p, 1, [c, p] FROM par UNION ALL SELECT cl.node, par.p, cl.distance + 1, list_append(cl.seen, par.p) FROM cl JOIN par ON cl.anc = par.c WHERE NOT list_contains(cl.seen, par.p))
+SELECT anc AS ancestor, node AS descendant, distance::BIGINT AS distance FROM cl WHERE node <> anc""",
+)
+def p7_descendants(spark, d):
+    """All descendants of each id."""
+    return hierarchy.descendant_pairs(_links(spark, d))
+
+
+@R.add(
+    "p7_back_edges",
+    _TREE
+    + """, cl(node, anc) AS (SELECT c, p FROM par UNION SELECT cl.node, par.p FROM cl JOIN par ON cl.anc = par.c),
+ring AS (SELECT node, min(anc) AS low FROM cl GROUP BY node HAVING bool_or(node = anc))
+SELECT par.c AS node_id, par.p AS back_edge_to FROM par JOIN ring ON ring.node = par.c AND ring.low = par.p""",
+)
+def p7_back_edges(spark, d):
+    """The link that closes each cycle."""
+    return hierarchy.build_hierarchy(_links(spark, d)).where("back_edge_to is not null").select("node_id", "back_edge_to")

@@ -2,6 +2,7 @@
 
 import pyspark.sql.functions as F
 
+from lodestone.operators import hierarchy
 from lodestone.plans import composites, graphs, streams
 
 
@@ -32,3 +33,25 @@ def test_sections_by_the_whole_text(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, title string, created_at timestamp_ntz").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.query_id: r.sections for r in composites.seed_sections_all(spark, str(tmp_path)).collect()}
     assert got == {1: ["map", "retrieval"], 2: ["retrieval"], 3: ["retrieval"]}
+
+
+LINKS = [("b", "a"), ("c", "b"), ("e", "e"), ("f", "e"), ("g", "h"), ("h", "j"), ("j", "g"), ("i", "h"), ("z", "i")]
+
+
+def test_back_edges_do_not_depend_on_the_size(spark):
+    df = spark.createDataFrame(LINKS, "child string, parent string")
+    for most in (100_000, 0):
+        h = hierarchy.build_hierarchy(df, co_locate=most).where("back_edge_to is not null")
+        assert {(r.node_id, r.back_edge_to) for r in h.collect()} == {("e", "e"), ("j", "g")}
+
+
+def test_all_descendants_with_their_distance(spark):
+    up, want = dict(LINKS), set()
+    for x in up:
+        at, n = up[x], 1
+        while at is not None and n <= len(up):
+            if at != x and not any(w[:2] == (at, x) for w in want):
+                want.add((at, x, n))
+            at, n = up.get(at), n + 1
+    got = hierarchy.descendant_pairs(spark.createDataFrame(LINKS, "child string, parent string"))
+    assert {tuple(r) for r in got.collect()} == want
