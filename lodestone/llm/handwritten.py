@@ -49,16 +49,41 @@ _PACKED_ROW = re.compile(r"^\s*[\"'][A-Za-z0-9+/=_-]{40,}[\"']\s*[,+.)\\]*\s*$")
 _COUNTER = re.compile(r"(?<=[A-Za-z_])\d+\b")
 
 
+#: What opens a block in a leading comment, and what closes it.
+_BLOCKS = {"/*": "*/", "<!--": "-->", '"""': '"""', "'''": "'''"}
+_EDGES = re.compile(r"^[\s*!/#-]*(.*?)\s*(?:\*/|-->|\"\"\"|''')?\s*$")
+_DOCSTRING = re.compile(r"^(?:[rRuU])?(?=\"\"\"|''')")
+
+
 def _header(text: str) -> list[str]:
-    """Comment lines before the first code, at most twenty."""
-    out = []
-    for line in text.split("\n", 20)[:20]:
-        if not line.strip() or line.startswith("#!"):
-            continue
-        m = _COMMENT.match(line)
-        if not m:
-            break
-        out.append(m.group(1))
+    """Lines of the comments and the docstring before the first code, without their marks."""
+    out: list[str] = []
+    until = None  # the mark that closes the block the line stands in
+    at = 0
+    while at < len(text):
+        end = text.find("\n", at)
+        end = len(text) if end < 0 else end
+        line = text[at:end].strip()
+        at = end + 1
+        if until is None:
+            if not line or line.startswith("#!"):
+                continue
+            line = _DOCSTRING.sub("", line)
+            mark = next((x for x in _BLOCKS if line.startswith(x)), None)
+            if mark is None:
+                m = _COMMENT.match(line)
+                if not m:
+                    break
+                out.append(m.group(1))
+                continue
+            line, until = line[len(mark) :], _BLOCKS[mark]
+        said, closed, rest = line.partition(until)
+        out.append(_EDGES.match(said).group(1))
+        if closed:
+            until = None
+            rest = rest.strip()
+            if rest and not _COMMENT.match(rest):
+                break
     return out
 
 

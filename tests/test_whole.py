@@ -1,7 +1,9 @@
 """Queries that do the whole job: cases that a cut of rows, seeds or texts would lose."""
 
 import pyspark.sql.functions as F
+import pytest
 
+from lodestone.llm.handwritten import signs
 from lodestone.operators import hierarchy
 from lodestone.plans import composites, graphs, streams
 
@@ -55,3 +57,23 @@ def test_all_descendants_with_their_distance(spark):
             at, n = up.get(at), n + 1
     got = hierarchy.descendant_pairs(spark.createDataFrame(LINKS, "child string, parent string"))
     assert {tuple(r) for r in got.collect()} == want
+
+
+_CODE = "def first(a):\n    return a\n"
+_LICENCE = "Permission is hereby granted, free of charge, to any person\n\n"
+
+
+@pytest.mark.parametrize(
+    "file,text,want",
+    [
+        ("a/x.py", "# Permission is hereby granted\n#\n" * 15 + "# Code generated by t v1; DO NOT EDIT.\n" + _CODE, "generated"),
+        ("a/x.go", "/*\n" + _LICENCE * 15 + "*/\n\n// Code generated by t v1; DO NOT EDIT.\npackage x\n", "generated"),
+        ("a/x.c", "/*\n" + _LICENCE + "This is a verbatim copy of foo.\n*/\nint a;\n", "vendored"),
+        ("a/x.py", '"""\nCode generated by t v1; DO NOT EDIT.\n"""\n' + _CODE, "generated"),
+        ("a/x.py", "# Permission is hereby granted\n" * 30 + _CODE + "# Code generated by t v1; DO NOT EDIT.\n", None),
+        ("a/x.js", "/* Helpers. */ var a = 1;\n// Code generated by t v1; DO NOT EDIT.\n", None),
+        ("a/x.py", '"""Reads files."""\n' + _CODE + '"""\nCode generated by t.\n"""\n', None),
+    ],
+)
+def test_marks_anywhere_in_the_leading_comment(file, text, want):
+    assert signs(file, text) == want
