@@ -5,9 +5,9 @@ is walked as a lattice of gaps: each terminator opens a gap, and the gap is take
 
 * Spaced scripts: the lattice of terminators with closing quotes; abbreviations, ordinals, initials, versions
   and ellipses leave a gap closed, unless what follows opens a sentence.
-* Spaceless scripts: the stretch after a gap is segmented into words by a dictionary lattice (longest path by
-  covered length); a gap after a closing quote is left if the first word is a final or linking particle. In Thai a
-  blank between two Thai letters is a gap.
+* Spaceless scripts: every ideographic mark outside quotations is a boundary; texts aren't segmented into words. After
+  a mark and a closing quote a lattice of listed words finds the first word, and the gap is taken only if that is an
+  opening word. In Thai a blank between two Thai letters is a gap.
 
 Marks inside quotations, brackets and code spans open no gap for the sentence around them.
 
