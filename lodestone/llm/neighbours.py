@@ -6,7 +6,7 @@
    vector is put into one leaf of each tree and compared inside its leaf. A leaf that is larger than planned is
    split again inside its task, so the work stays n log n.
 3. NN-descent rounds: around every node its neighbours and reverse neighbours are compared with each other. The
-   reverse list of a hub is cut into chunks that are all worked on, so no candidate is dropped.
+   reverse list of a hub is cut into chunks that are all worked on; two of its members in different chunks aren't compared there.
 4. Members of a class take the neighbours of their representative and of each other.
 
 ``search`` answers new queries by greedy walks over the finished graph.
@@ -100,7 +100,8 @@ def _top(ids: np.ndarray, x: np.ndarray, k: int, most: int, seed: int = 1) -> It
     s = x @ x.T
     np.fill_diagonal(s, -2.0)
     m = min(k, len(ids) - 1)
-    best = np.argpartition(-s, m - 1, axis=1)[:, :m]
+    by_id = np.argsort(ids, kind="stable")
+    best = by_id[np.argsort(-np.round(s[:, by_id], 9), axis=1, kind="stable")[:, :m]]  # ties to the smaller id
     rows = np.repeat(np.arange(len(ids)), m)
     yield ids[rows], ids[best.ravel()], s[rows, best.ravel()]
 
@@ -141,14 +142,17 @@ def _keep_best(pairs: DataFrame, k: int) -> DataFrame:
 
 
 def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (centre, part, b, worst, fresh, v), whole centres in order: compares their members, but for pairs that are both known."""
+    """Rows (centre, part, b, worst, last, fresh, v), whole centres in order: compares their members, but for pairs that are both known.
+
+    worst and last: the rounded similarity and the id of the last neighbour of b, which a candidate must beat.
+    """
     names = ["a", "b", "sim"]
     rest: pa.Table | None = None
 
     def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
         t = t.combine_chunks()
         centre, part = t.column("centre").to_numpy(), t.column("part").to_numpy()
-        ids, worst, fresh = t.column("b").to_numpy(), t.column("worst").to_numpy(), t.column("fresh").to_numpy().astype(bool)
+        ids, worst, last, fresh = t.column("b").to_numpy(), t.column("worst").to_numpy(), t.column("last").to_numpy(), t.column("fresh").to_numpy().astype(bool)
         x = _vectors(t.column("v").chunk(0)) if t.num_rows else None
         cuts = np.nonzero((centre[1:] != centre[:-1]) | (part[1:] != part[:-1]))[0] + 1
         a_out, b_out, s_out = [], [], []
@@ -156,8 +160,10 @@ def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if j - i < 2:
                 continue
             s = x[i:j] @ x[i:j].T
-            w, new = worst[i:j], fresh[i:j]
-            p, q = np.nonzero(np.triu(((s > w[:, None]) | (s > w[None, :])) & (new[:, None] | new[None, :]), 1))
+            w, z, own, new = worst[i:j], last[i:j], ids[i:j], fresh[i:j]
+            r = np.round(s, 9)
+            beats = (r > w[:, None]) | (r == w[:, None]) & (own[None, :] < z[:, None])
+            p, q = np.nonzero(np.triu((beats | beats.T) & (new[:, None] | new[None, :]), 1))
             if len(p):
                 a_out.append(ids[i:j][p])
                 b_out.append(ids[i:j][q])
@@ -184,14 +190,15 @@ def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _descend(graph: DataFrame, packed: DataFrame, k: int, chunk: int) -> DataFrame:
     """One NN-descent round: candidates (a, b, sim), both ways, that beat the worst neighbour of one of them."""
-    worst = graph.groupBy(F.col("a").alias("b")).agg(F.min("sim").alias("worst"))
+    end = F.max(F.struct((-F.round("sim", 9)).alias("s"), F.col("b").alias("id")))
+    worst = graph.groupBy(F.col("a").alias("b")).agg(end.alias("end")).select("b", (-F.col("end.s")).alias("worst"), F.col("end.id").alias("last"))
     full = graph.groupBy(F.col("a").alias("b")).agg(F.count("*").alias("n"))
-    known = packed.withColumnRenamed("vec_id", "b").join(worst, "b", "left").join(full, "b", "left").withColumn("worst", F.when(F.col("n") >= k, F.col("worst")).otherwise(F.lit(-2.0))).drop("n")
+    known = packed.withColumnRenamed("vec_id", "b").join(worst, "b", "left").join(full, "b", "left").withColumn("worst", F.when(F.col("n") >= k, F.col("worst")).otherwise(F.lit(-2.0))).withColumn("last", F.coalesce("last", F.lit(0))).drop("n")
     back = graph.groupBy(F.col("b").alias("centre")).agg(F.ceil(F.count("*") / chunk).cast("int").alias("parts"))
     forward = graph.select(F.col("a").alias("centre"), "b", "fresh").join(back, "centre", "left").select("centre", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), "b", "fresh")
     reverse = graph.select(F.col("b").alias("centre"), F.col("a").alias("b"), "fresh").join(back, "centre").select("centre", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b", "fresh")
     near = forward.unionByName(reverse).groupBy("centre", "part", "b").agg(F.max("fresh").alias("fresh"))
-    around = near.join(known, "b").select("centre", "part", "b", "worst", F.col("fresh").cast("int").alias("fresh"), "v")
+    around = near.join(known, "b").select("centre", "part", "b", "worst", "last", F.col("fresh").cast("int").alias("fresh"), "v")
     around = around.repartition("centre", "part").sortWithinPartitions("centre", "part")
     better = around.mapInArrow(_around, "a bigint, b bigint, sim double").groupBy("a", "b").agg(F.max("sim").alias("sim"))
     return better.unionByName(better.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
