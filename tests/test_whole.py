@@ -1,12 +1,7 @@
 """Queries that do the whole job: cases that a cut of rows, seeds or texts would lose."""
 
-import numpy as np
-import pyarrow as pa
 import pyspark.sql.functions as F
-import pytest
 
-from lodestone.llm import neighbours
-from lodestone.llm.handwritten import signs
 from lodestone.operators import hierarchy
 from lodestone.plans import composites, graphs, streams
 
@@ -60,47 +55,3 @@ def test_all_descendants_with_their_distance(spark):
             at, n = up.get(at), n + 1
     got = hierarchy.descendant_pairs(spark.createDataFrame(LINKS, "child string, parent string"))
     assert {tuple(r) for r in got.collect()} == want
-
-
-_CODE = "def first(a):\n    return a\n"
-_LICENCE = "Permission is hereby granted, free of charge, to any person\n\n"
-
-
-@pytest.mark.parametrize(
-    "file,text,want",
-    [
-        ("a/x.py", "# Permission is hereby granted\n#\n" * 15 + "# Code generated by t v1; DO NOT EDIT.\n" + _CODE, "generated"),
-        ("a/x.go", "/*\n" + _LICENCE * 15 + "*/\n\n// Code generated by t v1; DO NOT EDIT.\npackage x\n", "generated"),
-        ("a/x.c", "/*\n" + _LICENCE + "This is a verbatim copy of foo.\n*/\nint a;\n", "vendored"),
-        ("a/x.py", '"""\nCode generated by t v1; DO NOT EDIT.\n"""\n' + _CODE, "generated"),
-        ("a/x.py", "# Permission is hereby granted\n" * 30 + _CODE + "# Code generated by t v1; DO NOT EDIT.\n", None),
-        ("a/x.js", "/* Helpers. */ var a = 1;\n// Code generated by t v1; DO NOT EDIT.\n", None),
-        ("a/x.py", '"""Reads files."""\n' + _CODE + '"""\nCode generated by t.\n"""\n', None),
-    ],
-)
-def test_marks_anywhere_in_the_leading_comment(file, text, want):
-    assert signs(file, text) == want
-
-
-def test_ties_inside_a_leaf_go_to_the_smaller_ids():
-    ids = np.random.default_rng(3).permutation(40)
-    x = np.tile(np.eye(1, 64), (40, 1)) * (1 + 1e-12 * ids[:, None])
-    a, b, _ = next(neighbours._top(ids, x, 12, 512))
-    assert all(sorted(b[a == i]) == [j for j in range(40) if j != i][:12] for i in ids)
-
-
-def test_a_tie_with_a_smaller_id_beats_the_last_neighbour():
-    v = [np.eye(1, 64)[0].tobytes()] * 2
-    columns = {"centre": [7, 7], "part": [0, 0], "b": [1, 50], "worst": [1.0, 1.0], "last": [0, 40], "fresh": [1, 1], "v": v}
-    rows = pa.RecordBatch.from_pydict(columns)
-    got = [r for out in neighbours._around(iter([rows])) for r in out.to_pylist()]
-    assert [(r["a"], r["b"]) for r in got] == [(1, 50)]
-
-
-def test_copies_of_other_lengths_keep_the_smaller_ids(spark):
-    rng = np.random.default_rng(5)
-    x = rng.normal(size=64)
-    rows = [(i, [float(c) for c in (x * (1 + i / 7)).astype(np.float32)]) for i in range(40)]
-    got = {tuple(r) for r in neighbours.similar_pairs(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")).collect()}
-    want = {(min(i, j), max(i, j)) for i in range(40) for j in [k for k in range(40) if k != i][:5]}
-    assert got == want
