@@ -13,6 +13,7 @@ at its BEGIN line and is masked as a whole; masking keeps every length and all e
 from __future__ import annotations
 
 import base64
+import bisect
 import functools
 import re
 
@@ -49,12 +50,14 @@ _BARE = re.compile(r"(?:^|[\s`\"'(,;{\[])(?:export\s+|set\s+)?(?P<name>[A-Za-z_]
 _YAML = re.compile(r"^\s*(?:-\s+)?(?P<name>[A-Za-z_][\w.-]*)\s*:\s+(?P<value>[^\s\"'`|>{\[&*#][^\n]*?)(?:\s+#.*)?$")
 _LITERAL = re.compile(r"(?P<q>[\"'`])(?P<value>(?:(?!(?P=q))[^\\\n]|\\.)*)(?P=q)")
 _CONCAT = re.compile(r"(?:\"[^\"\\\n]*\"|'[^'\\\n]*')(?:\s*\+\s*(?:\"[^\"\\\n]*\"|'[^'\\\n]*'))+")
-#: What stands between a name and its literal: an assignment, a type in between, a comparison, a colon or a comma after a quoted name.
-_TO_NAME = re.compile(r"(?P<name>[A-Za-z_$][\w$.-]*)(?:\[\w*\])?[\"'`]?\]?\s*(?::\s*[&\w\[\]<>|' ]+?)?\s*(?:=>|:=|==|!=|=|:)\s*(?:[bruf]{0,2})$")
-_TO_QUOTED = re.compile(r"[\"'`](?P<name>[A-Za-z_][\w.-]*)[\"'`]\s*,\s*$")
+#: What stands between a name and its literal, read backwards from the literal, so that a line of any length is read once: an
+#: assignment, a type in between, a comparison, a colon or a comma after a quoted name.
+_TO_NAME = re.compile(r"[bruf]{0,2}\s*(?:>=|=:|==|=!|=|:)\s*(?:[&\w\[\]<>|' ]+?\s*:)?\s*\]?[\"'`]?(?:\]\w*\[)?(?P<name>[\w$.-]*[A-Za-z_$])")
+_TO_QUOTED = re.compile(r"\s*,\s*[\"'`](?P<name>[\w.-]*[A-Za-z_])[\"'`]")
 #: A literal that something is compared with: only a long residual counts there.
-_TO_COMPARE = re.compile(r"[=!]==?\s*$|\bequals\(\s*$|\bcompare\w*\([^()]*,\s*$")
-_TO_CALL = re.compile(r"\b(?P<call>\w*(?:login|log_?in|connect|open_?link|auth\w*|sign_?in|dial|bind)\w*)\s*\(\s*[\"'`](?P<user>[^\"'`]*)[\"'`]\s*,\s*$", re.I)
+_TO_COMPARE = re.compile(r"\s*==?[=!]|\s*\(slauqe\b|\s*,[^()]*\(\w*erapmoc\b")
+_TO_CALL = re.compile(r"\s*,\s*[\"'`](?P<user>[^\"'`]+)[\"'`]\s*\(\s*(?P<call>\w+)")
+_LOGIN = re.compile(r"login|log_?in|connect|open_?link|auth\w*|sign_?in|dial|bind", re.I)
 _HINT = re.compile(r"pass|pwd|\bpw\b|_pw|pw_|Pw|PW|secret|token|key|auth|cred|bearer|seed|login|link|connect|\bpin\b|pem|jwt|://|AKIA|ASIA|AIza|eyJ|gl\w+-|gh\w_|xox|sk[-_]|basic |-u |cookie|PRIVATE|npm_|hf_|SG\.|dial|bind|phrase|vault", re.I)
 _HEX = re.compile(r"^[0-9a-fA-F]+$")
 _UUID = re.compile(r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")
@@ -120,7 +123,7 @@ def usable(value: str, named: bool) -> bool:
         return False
     if _TOKEN.search(v):
         return True
-    if not named or len(v) < 6 or len(v) > 600:
+    if not named or len(v) < 6:
         return False
     if re.search(r"^data:|^sha(?:1|256|384|512)-|-----BEGIN|^ssh-(?:rsa|ed25519)|^https?://|^\w+://", v) or _is_path(v) or _UUID.match(v):
         return False
@@ -162,27 +165,34 @@ def _in_line(line: str) -> list[tuple[int, int]]:
         put(m, _secret_name(m.group("name")))
     for m in _USERPW.finditer(line):
         put(m, True)
+    literals = list(_LITERAL.finditer(line))
+    starts = [0, 0, *(m.start() for m in literals)]
+
+    def begin(at: int) -> int:
+        """Where the context of a literal begins: the literal before the last one."""
+        return starts[max(0, bisect.bisect_left(starts, at) - 2)]
+
     for m in _CONCAT.finditer(line):
         # one literal in several pieces
         pieces = list(_LITERAL.finditer(line, m.start(), m.end()))
-        n = _TO_NAME.search(line[max(0, m.start() - 160) : m.start()])
-        if n and not _speaks_of_other(n.group("name")) and usable("".join(x.group("value") for x in pieces), _secret_name(n.group("name"))):
+        name = _name_before(_TO_NAME, line[begin(m.start()) : m.start()][::-1])
+        if name and not _speaks_of_other(name) and usable("".join(x.group("value") for x in pieces), _secret_name(name)):
             out += [x.span("value") for x in pieces]
-    for m in _LITERAL.finditer(line):
+    for m in literals:
         if len(m.group("value")) < 6:
             continue
         if (inner := re.match(r"([A-Za-z_][\w.-]*)=(.+)$", m.group("value"))) and usable(inner.group(2), _secret_name(inner.group(1))):
             out.append((m.start("value") + inner.start(2), m.end("value")))
             continue
-        before = line[max(0, m.start() - 160) : m.start()]
-        if (c := _TO_CALL.search(before)) and c.group("user"):
+        before = line[begin(m.start()) : m.start()][::-1]
+        if (c := _TO_CALL.match(before)) and _LOGIN.search(c.group("call")[::-1]):
             put(m, True)
             continue
-        n = _TO_NAME.search(before) or _TO_QUOTED.search(before)
-        named = bool(n) and _secret_name(n.group("name"))
-        if n and _speaks_of_other(n.group("name")):
+        name = _name_before(_TO_NAME, before) or _name_before(_TO_QUOTED, before)
+        named = bool(name) and _secret_name(name)
+        if name and _speaks_of_other(name):
             continue
-        if not named and _TO_COMPARE.search(before) and _unexplained(m.group("value")):
+        if not named and _TO_COMPARE.match(before) and _unexplained(m.group("value")):
             named = True
         put(m, named)
     if _PROSE.match(line) and _PROSE_WORD.search(line) and not re.search(r"(?i)\b(?:sha-?\d*|md5|commit|digest|checksum|uuid|public|hash)\b", line):
@@ -205,6 +215,11 @@ def _in_line(line: str) -> list[tuple[int, int]]:
     return _merged(out)
 
 
+def _name_before(pattern: re.Pattern, backwards: str) -> str | None:
+    m = pattern.match(backwards)
+    return m.group("name")[::-1] if m else None
+
+
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -221,7 +236,8 @@ def find_credentials(text: str) -> list[tuple[int, int]]:
     if "PRIVATE KEY" in text:
         for m in _PEM.finditer(text):
             body = re.sub(r"\\[nrt]|[^A-Za-z0-9+/=]", "", m.group("body"))
-            if len(body) >= 40 and not _from_store(m.group("body")[:200].strip()):
+            said = re.sub(r"[A-Za-z0-9+/=]{40,}|\\[nrt]", "", m.group("body")).strip()  # what isn't key material
+            if len(body) >= 40 and not (re.search(r"[A-Za-z]", said) and _from_store(said)):
                 spans.append(m.span("body"))
     keys = list(spans)
     at = 0

@@ -5,9 +5,10 @@ is walked as a lattice of gaps: each terminator opens a gap, and the gap is take
 
 * Spaced scripts: the lattice of terminators with closing quotes; abbreviations, ordinals, initials, versions
   and ellipses leave a gap closed, unless what follows opens a sentence.
-* Spaceless scripts: every ideographic mark outside quotations is a boundary; texts aren't segmented into words. After
-  a mark and a closing quote a lattice of listed words finds the first word, and the gap is taken only if that is an
-  opening word. In Thai a blank between two Thai letters is a gap.
+* Spaceless scripts: the clauses on both sides of a mark are segmented over a dictionary lattice (the words of a public
+  vocabulary that are written in such scripts, a word's cost by its rank). A gap outside quotations is taken unless a linking
+  particle opens the clause behind it and no final particle closes the one before; behind a closing quotation or bracket
+  it is taken unless a linking word goes on. In Thai a blank between two Thai letters is a gap.
 
 Marks inside quotations, brackets and code spans open no gap for the sentence around them.
 
@@ -17,6 +18,8 @@ give one set of rows; positions count code points.
 
 from __future__ import annotations
 
+import functools
+import math
 import re
 import unicodedata
 
@@ -37,9 +40,12 @@ _SOFT = "."
 _ELLIPSIS = "…"
 _CLOSERS = "\"”’»›)]}」』）】》〉］｝“‘'"
 _PAIRS = {"“": "”", "„": "“”", "«": "»", "‹": "›", "「": "」", "『": "』", "（": "）", "(": ")", "[": "]", "【": "】", "《": "》", "〈": "〉", "［": "］", "{": "}", "»": "«", "‚": "‘’"}
-#: Dictionary of the lattice for spaceless scripts: particles and words that link back to what stands before (fixed values).
-_LINKING = ["と", "という", "といった", "って", "は", "が", "を", "に", "の", "で", "も", "など", "、", "，", "的", "地", "得", "吗", "呢", "吧", "之后", "以后", "时", "等", "这", "那", "后", "为", "是", "都"]
-_OPENING = ["这个", "那个", "为什么", "如果", "系统", "请", "版本", "调用", "我们", "日志", "なぜ", "しきい値", "バージョン", "システム", "ログ", "この", "その", "しかし", "また", "但是", "然后", "所以", "他", "她"]
+#: Words that go on with what stands before them (fixed values).
+_LINKING = {"と", "という", "といった", "って", "は", "が", "を", "に", "の", "で", "も", "など", "から", "まで", "へ", "や", "的", "地", "得", "之后", "以后", "之後", "以後", "时", "時", "等", "等等", "后", "後", "为", "為", "是", "都", "这", "那", "的时候", "的時候", "ที่"}
+#: Particles that go on even behind a mark that stands outside a quotation, such as one that belongs to a name (fixed values).
+_PARTICLES = {"と", "という", "といった", "って", "が", "を", "に", "の", "は", "も", "的"}
+#: Words that close a sentence (fixed values).
+_FINAL = {"吗", "嗎", "呢", "吧", "了", "啊", "呀", "哦", "嘛", "か", "ね", "よ", "な", "わ", "ぞ", "さ", "です", "ます", "ません", "でした", "ました", "ください", "た", "だ", "る", "い", "う", "ない", "ですか", "ますか", "ですね", "でしょう", "ましょう", "ครับ", "ค่ะ", "คะ", "นะ", "นะคะ"}
 
 _FENCE = re.compile(r"^[ \t]{0,12}(?:>[ \t]*)*(?:[-*+][ \t]+)?(?:```|~~~)")
 _HEADING = re.compile(r"^[ \t]{0,3}(?:>[ \t]*)*(#{1,6})(?:[ \t]+|$)")
@@ -130,17 +136,18 @@ def _protected(s: str) -> list[bool]:
         if code[i]:
             continue
         if c == '"':
+            opens = (i == 0 or s[i - 1].isspace() or s[i - 1] in "([{") and i + 1 < len(s) and s[i + 1].isalnum()
             if straight is None and (i == 0 or not s[i - 1].isalnum()) and i + 1 < len(s) and not s[i + 1].isspace():
                 straight = i
+            elif straight is not None and opens:
+                straight = i  # the one before never closed
             elif straight is not None:
-                if i - straight < 600:
-                    cover(straight, i)
+                cover(straight, i)
                 straight = None
             continue
         for k in range(len(open_at) - 1, -1, -1):
             if c in _PAIRS[open_at[k][0]]:
-                if i - open_at[k][1] < 600:
-                    cover(open_at[k][1], i)
+                cover(open_at[k][1], i)
                 del open_at[k:]
                 break
         else:
@@ -149,22 +156,76 @@ def _protected(s: str) -> list[bool]:
     return inside
 
 
-def _first_word(s: str, i: int) -> str | None:
-    """The first word behind a gap by a dictionary lattice: the path that covers most of the next eight characters."""
-    stretch = s[i : i + 8]
-    n = len(stretch)
-    best: list[tuple[int, int, str | None]] = [(-1, 0, None)] * (n + 1)
-    best[0] = (0, 0, None)
-    for a in range(n):
-        if best[a][0] < 0:
-            continue
-        covered, words, first = best[a]
-        steps = [(stretch[a : a + 1], 0)] + [(w, len(w)) for w in _OPENING + _LINKING if stretch.startswith(w, a)]
-        for w, gain in steps:
-            b = a + max(1, len(w))
-            if b <= n and (covered + gain, -words) > (best[b][0], -best[b][1] if best[b][0] >= 0 else -99):
-                best[b] = (covered + gain, words + 1, first if a else w)
-    return best[n][2]
+class Lattice:
+    """Viterbi segmentation of spaceless text: a word of rank r costs log(r + 10), a character that no word holds ``unknown``."""
+
+    def __init__(self, words: list[str], unknown: float = 14.0) -> None:
+        self.cost: dict[str, float] = {}
+        for rank, w in enumerate(words):
+            self.cost.setdefault(w, math.log(rank + 10))
+        self.longest = max(map(len, self.cost), default=1)
+        self.unknown = unknown
+
+    def words(self, clause: str) -> list[str]:
+        n = len(clause)
+        best, back = [0.0] + [math.inf] * n, [0] * (n + 1)
+        get = self.cost.get
+        for i in range(n):
+            here = best[i]
+            for j in range(i + 1, min(n, i + self.longest) + 1):
+                c = get(clause[i:j])
+                if c is None:
+                    if j > i + 1:
+                        continue
+                    c = self.unknown
+                if here + c < best[j]:
+                    best[j], back[j] = here + c, i
+        out, j = [], n
+        while j:
+            out.append(clause[back[j] : j])
+            j = back[j]
+        return out[::-1]
+
+
+@functools.lru_cache(1)
+def lattice() -> Lattice:
+    """The words of a public vocabulary for many languages that are written without spaces, and the listed particles."""
+    from .tokenizers import byte_pieces
+
+    return Lattice([*sorted(_LINKING | _FINAL), *(w for w in byte_pieces() if all(map(_spaceless, w)))])
+
+
+@functools.lru_cache(1 << 16)
+def _ends(clause: str) -> tuple[str, str]:
+    """The first and the last word of a clause."""
+    w = lattice().words(clause)
+    return w[0], w[-1]
+
+
+def _word_after(s: str, i: int) -> str | None:
+    """The first word of the clause that begins at i; None where no spaceless script begins."""
+    j = i
+    while j < len(s) and _spaceless(s[j]):
+        j += 1
+    return _ends(s[i:j])[0] if j > i else None
+
+
+def _word_before(s: str, i: int) -> str | None:
+    """The last word of the clause that ends before i."""
+    j = i
+    while j > 0 and _spaceless(s[j - 1]):
+        j -= 1
+    return _ends(s[j:i])[1] if j < i else None
+
+
+def _quote_goes_on(s: str, after: int) -> bool:
+    """Whether what stands behind a closed quotation belongs to the sentence around it."""
+    return s[after] in "，、,；;：:" or _word_after(s, after) in _LINKING
+
+
+def _name_goes_on(s: str, mark: int, after: int) -> bool:
+    """Whether a mark outside quotations belongs to a name: a particle follows at once and no final word stands before."""
+    return _word_after(s, after) in _PARTICLES and _word_before(s, mark) not in _FINAL
 
 
 def _opens(s: str, i: int) -> bool:
@@ -269,11 +330,11 @@ def cut_block(s: str) -> list[tuple[int, int]]:
         if quoted:
             # the quotation ends with its own mark: the sentence around it goes on unless a new one is opened
             if ideographic or _spaceless(s[after]):
-                take = s[k - 1] not in ")）]】" and _first_word(s, after) not in _LINKING and s[after] not in "，、,；;：:" and _first_word(s, after) in _OPENING
+                take = s[k - 1] not in ")）]】" and not _quote_goes_on(s, after)
             else:
                 take = k < n and s[k].isspace() and _opens(s, after) and s[k - 1] not in ")]}"
         elif ideographic:
-            take = True
+            take = after > k or not _name_goes_on(s, i, after)
         elif run[-1] == _ELLIPSIS or run.endswith(".."):
             take = (k < n and s[k].isspace() or _spaceless(s[after])) and _opens(s, after)
         elif run == ".":

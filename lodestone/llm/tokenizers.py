@@ -31,3 +31,18 @@ def tiktoken_encoding(path: str | None = None):
     # the split pattern of byte-level BPE (a fixed value)
     pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+def byte_pieces(path: str | None = None) -> list[str]:
+    """Pieces of a byte-level vocabulary for many languages that are whole characters, without the blanks around them, by rank."""
+    with open(path or tokenizer_path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranked = sorted((int(b), base64.b64decode(a)) for a, b in map(bytes.split, f))
+    out = []
+    for _, piece in ranked:
+        try:
+            word = piece.decode("utf-8").strip()
+        except UnicodeDecodeError:
+            continue  # a part of a character
+        if word:
+            out.append(word)
+    return out
