@@ -1,16 +1,20 @@
 """Parent-child links to full hierarchies: path, depth, root, descendants and cycles.
 
-Connected components are found first (min-label hooking with pointer jumping). A component of at most
-``co_locate`` ids is brought into one task and walked depth first with node colouring; a larger one
-(a hot tree may hold a third of all rows) is never collected: there the same answer comes from pointer
-doubling, whose rounds grow with the logarithm of the depth.
+Every id has one parent, so a connected component is a tree below its root, or a cycle with the trees that hang on it.
+Components are found by pointer doubling (:func:`climb`): every round an id that has not reached a top jumps to where its
+current ancestor points; what has arrived is written once and not touched again, and the rounds end when nothing arrives
+any more, since then only cycles and what hangs on them are left. A component of at most ``co_locate`` ids is brought into one
+task and walked depth first with node colouring, which gives roots, depths, lines of ancestors and back edges. A larger one (a hot
+tree may hold a third of all rows) is never brought into one task: there the same columns come from doubling alone.
 
 Defined results
 ---------------
 * links with a null end are dropped; an id that links to itself is a cycle of length one;
-* repeated links count once; if an id has several parents, the smallest parent id is its parent;
+* repeated links count once; if an id has several parents, the smallest parent id is its parent, and the others are
+  ids of their own (roots, unless they have parents);
 * an id on a cycle, or whose line of parents runs into one, has root ``CYCLE`` and depth -1;
 * the back edge of a cycle is the link into its smallest id; every cycle has one;
+* the line of an id holds its ancestors, the nearest first; on a cycle, the other ids of the cycle, each once;
 * an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -30,41 +34,84 @@ CYCLE = "CYCLE"
 
 def parent_links(links: DataFrame) -> DataFrame:
     """child -> one parent, plus a row with parent null for ids that only occur as parents."""
-    p = links.select("child", "parent").where("child is not null and parent is not null").groupBy("child").agg(F.min("parent").alias("parent"))
-    tops = p.select(F.col("parent").alias("child")).distinct().join(p.select("child"), "child", "left_anti")
-    return p.unionByName(tops.withColumn("parent", F.lit(None).cast("string")))
+    pairs = links.select("child", "parent").where("child is not null and parent is not null")
+    # one pass: a link shows its child with the parent, and its parent without one
+    both = pairs.select(F.explode(F.array(F.struct(F.col("child"), F.col("parent")), F.struct(F.col("parent").alias("child"), F.lit(None).cast("string").alias("parent")))).alias("x"))
+    return both.groupBy(F.col("x.child").alias("child")).agg(F.min("x.parent").alias("parent"))
 
 
-def components(parents: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """(child, parent) -> (id, component) where component is the smallest id that is connected.
+#: How a column of an id and the same column of the id its pointer leads to are put together.
+_TOGETHER = {"steps": lambda a, b: F.col(a) + F.col(b), "line": lambda a, b: F.concat(a, b), "low": lambda a, b: F.least(a, b)}
 
-    Every round lets each id take the smallest label next to it and then the label of that label, so long
-    chains close in logarithmically many rounds; the loop ends when no label changes.
+
+def _jump(active: DataFrame, every: DataFrame, fold: list[str], take: list[str] = []) -> DataFrame:
+    """Follows the pointers of ``every`` three times: a pointer over n steps becomes one over 4n."""
+    for _ in range(3):
+        hop = every.select(F.col("id").alias("up"), F.col("up").alias("_up"), *[F.col(c).alias(f"_{c}") for c in [*fold, *take]])
+        active = active.join(hop, "up").select("id", F.col("_up").alias("up"), *[_TOGETHER[c](c, f"_{c}").alias(c) for c in fold], *[F.col(f"_{c}").alias(c) for c in take])
+    return active
+
+
+def climb(parents: DataFrame, lines: bool = False, max_rounds: int = 64) -> tuple[DataFrame, DataFrame]:
+    """(child, parent) -> what reaches a top: (id, root, depth[, line]); and the links of what never does: (child, parent).
+
+    After k rounds every id with a depth of at most 4^k has arrived. A round in which none arrives has therefore met
+    no id with a depth between 4^k and 4^(k+1), and there can be no deeper one.
     """
-    both = parents.where("parent is not null").select(F.col("child").alias("u"), F.col("parent").alias("v"))
-    both = cut(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    label = cut(parents.select(F.col("child").alias("id"), F.col("child").alias("component")))
+    own = [F.array("parent").alias("line")] if lines else []
+    none = [F.array().cast("array<string>").alias("line")] if lines else []
+    tops = parents.where("parent is null").select(F.col("child").alias("id"), F.col("child").alias("up"), F.lit(0).cast("bigint").alias("steps"), *none, F.lit(True).alias("done"))
+    active = parents.where("parent is not null").select(F.col("child").alias("id"), F.col("parent").alias("up"), F.lit(1).cast("bigint").alias("steps"), *own, F.lit(False).alias("done"))
+    arrived, left = tops, None
     for _ in range(max_rounds):
-        near = both.join(label.withColumnRenamed("id", "v"), "v").groupBy(F.col("u").alias("id")).agg(F.min("component").alias("near"))
-        hooked = label.join(near, "id", "left").select("id", F.col("component").alias("old"), F.least("component", "near").alias("component"))
-        # an id's old label may itself have a better label now: hook the label too, then jump
-        better = hooked.where("component < old").groupBy(F.col("old").alias("id")).agg(F.min("component").alias("via"))
-        hooked = hooked.join(better, "id", "left").select("id", "old", F.least("component", "via").alias("component"))
-        jump = hooked.select(F.col("id").alias("component"), F.col("component").alias("up"))
-        new = cut(hooked.join(jump, "component", "left").select("id", "old", F.least("component", "up").alias("component")))
-        done = new.where("component <> old").isEmpty()
-        label = new.select("id", "component")
-        if done:
-            return label
-    raise RuntimeError(f"components did not settle within {max_rounds} rounds")
-
-
-def _walk(group: pd.DataFrame) -> pd.DataFrame:
-    """Iterative depth-first walk of one component: white = unseen, grey = on the current line, black = done."""
+        every = arrived.unionByName(active)
+        state = cut(_jump(active.select("id", "up", "steps", *(["line"] if lines else [])), every, ["steps", *(["line"] if lines else [])], ["done"]))
+        n = state.agg(F.count_if("done"), F.count_if(~F.col("done"))).first()
+        arrived = arrived.unionByName(state.where("done"))
+        active, left = state.where("not done"), n[1]
+        if not n[0] or not left:
+            break
+    else:
+        raise RuntimeError(f"lines of parents did not end within {max_rounds} rounds")
+    found = arrived.select("id", F.col("up").alias("root"), F.col("steps").cast("int").alias("depth"), *(["line"] if lines else []))
+    rest = parents.where("parent is not null").join(active.select(F.col("id").alias("child")), "child", "left_semi").select("child", "parent") if left else parents.limit(0).select("child", "parent")
+    return found, rest
+
+
+def rings(rest: DataFrame, lines: bool = False) -> DataFrame:
+    """Links of which none leads to a top -> id, component (the smallest id of the cycle), on_ring[, line].
+
+    Doubling over as many steps as there are ids: then every pointer is on a cycle, and the smallest id that an id of a
+    cycle has passed is the smallest of the cycle.
+    """
+    rest = cut(rest)
+    size = rest.count()
+    own = [F.array("parent").alias("line")] if lines else []
+    state = rest.select(F.col("child").alias("id"), F.col("parent").alias("up"), F.least("child", "parent").alias("low"), *own)
+    steps = 1
+    while steps < size:
+        state = _jump(state, state, ["low", *(["line"] if lines else [])])
+        state = cut(state.withColumn("line", F.array_distinct("line")) if lines else state)
+        steps *= 4
+    ends = state.groupBy("up").agg(F.lit(True).alias("on_ring")).withColumnRenamed("up", "id")
+    lows = state.join(ends, "id").select(F.col("id").alias("up"), F.col("low").alias("component"))
+    out = state.join(lows, "up").join(ends, "id", "left").select("id", "component", F.coalesce("on_ring", F.lit(False)).alias("on_ring"), *(["line"] if lines else []))
+    return out.withColumn("line", F.filter("line", lambda x: x != F.col("id"))) if lines else out
+
+
+def components(parents: DataFrame) -> DataFrame:
+    """(child, parent) -> (id, component): the root of its tree, or the smallest id of the cycle it runs into."""
+    found, rest = climb(parents)
+    return found.select("id", F.col("root").alias("component")).unionByName(rings(rest).select("id", "component"))
+
+
+def _walk(group: pd.DataFrame, lines: bool) -> pd.DataFrame:
+    """Iterative depth-first walk of whole components: white = unseen, grey = on the current line, black = done."""
     up = dict(zip(group["child"], group["parent"]))
     root: dict[str, str] = {}
     depth: dict[str, int] = {}
     back: dict[str, str] = {}
+    above: dict[str, list[str]] = {}
     for start in up:
         line, grey, at = [], set(), start
         while at is not None and at not in root and at not in grey:
@@ -79,66 +126,70 @@ def _walk(group: pd.DataFrame) -> pd.DataFrame:
             low = ring.index(min(ring))
             back[ring[low - 1]] = ring[low]
             r, d = CYCLE, None
+            if lines:
+                for i, x in enumerate(ring):
+                    above[x] = ring[i + 1 :] + ring[:i]
         else:
             r, d = root[at], depth[at]
             d = None if r == CYCLE else d
         for x in reversed(line):
             d = None if d is None else d + 1
             root[x], depth[x] = r, -1 if d is None else d
+            if lines and x not in above:
+                p = up[x]
+                above[x] = [] if d == 0 else [p, *above[p]]
     ids = list(up)
-    return pd.DataFrame({"node_id": ids, "root_id": [root[i] for i in ids], "depth": [depth[i] for i in ids], "back_edge_to": [back.get(i) for i in ids]})
+    out = pd.DataFrame({"node_id": ids, "root_id": [root[i] for i in ids], "depth": [depth[i] for i in ids], "back_edge_to": [back.get(i) for i in ids]})
+    if lines:
+        out["line"] = [above[i] for i in ids]
+    return out
 
 
-def _walk_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _walk_batches(lines: bool):
     """Partitions hold whole components, sorted: every component is cut out and walked."""
-    rest = None
-    for b in batches:
-        b = b if rest is None else pd.concat([rest, b])
-        last = b["component"].iloc[-1] if len(b) else None
-        rest = b[b["component"] == last]
-        full = b[b["component"] != last]
-        if len(full):
-            yield _walk(full)
-    if rest is not None and len(rest):
-        yield _walk(rest)
-
-
-def _double(parents: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """Roots and depths by pointer doubling; what has no root after more steps than ids is on or above a cycle."""
-    # up = the id `steps` links above, null once the top has been passed
-    state = cut(parents.select(F.col("child").alias("id"), F.coalesce("parent", "child").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("bigint").alias("steps"), F.col("parent").isNull().alias("top")))
-    tops = state.where("top").select(F.col("id").alias("t"))
-    size = state.count()
-    for round_ in range(max_rounds):
-        hop = state.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("steps2"))
-        state = cut(state.join(hop, "up").select("id", F.col("up2").alias("up"), (F.col("steps") + F.col("steps2")).alias("steps"), "top"))
-        if 2 ** (round_ + 1) > size:
-            break
-    j = cut(state.join(tops, state["up"] == tops["t"], "left"))
-    # after that many steps every line has run into its cycle, and all ids of a cycle are the end of one
-    rings = cut(parents.join(j.where("t is null").select(F.col("up").alias("child")).distinct(), "child", "left_semi"))
-    out = j.select(F.col("id").alias("node_id"), F.when(F.col("t").isNull(), CYCLE).otherwise(F.col("up")).alias("root_id"), F.when(F.col("t").isNull(), -1).otherwise(F.col("steps")).cast("int").alias("depth"))
-    back = rings.join(components(rings).withColumnRenamed("id", "child"), "child").where("parent = component").select(F.col("child").alias("node_id"), F.col("parent").alias("back_edge_to"))
-    return out.join(back, "node_id", "left").select("node_id", "root_id", "depth", "back_edge_to")
 
-
-def build_hierarchy(links: DataFrame, co_locate: int = 100_000) -> DataFrame:
-    """links(child, parent) -> node_id, root_id, depth, back_edge_to."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for b in batches:
+            if not len(b):
+                continue
+            last = b["component"].iloc[-1]
+            if held and held[0]["component"].iloc[0] == last:
+                held.append(b)
+                continue
+            full = pd.concat([*held, b[b["component"] != last]])
+            held = [b[b["component"] == last]]
+            if len(full):
+                yield _walk(full, lines)
+        if held:
+            yield _walk(pd.concat(held), lines)
+
+    return run
+
+
+def build_hierarchy(links: DataFrame, co_locate: int = 100_000, lines: bool = False) -> DataFrame:
+    """links(child, parent) -> node_id, root_id, depth, back_edge_to and, with ``lines``, line (the ancestors, the nearest first)."""
     parents = cut(parent_links(links))
-    label = components(parents)
-    sizes = label.groupBy("component").agg(F.count("*").alias("n"))
-    big = cut(sizes.where(F.col("n") > co_locate).select("component"))
+    found, rest = climb(parents)
+    ring = cut(rings(rest))
+    label = found.select("id", F.col("root").alias("component"), "depth").unionByName(ring.select("id", "component", F.lit(-1).alias("depth")))
+    big = cut(label.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > co_locate).select("component"))
     placed = parents.join(label.withColumnRenamed("id", "child"), "child")
-    schema = "node_id string, root_id string, depth int, back_edge_to string"
-    if big.isEmpty():
-        small = placed
-    else:
-        small = placed.join(big, "component", "left_anti")
+    schema = "node_id string, root_id string, depth int, back_edge_to string" + (", line array<string>" if lines else "")
+    none = big.isEmpty()
+    small = placed if none else placed.join(big, "component", "left_anti")
     small = small.select("component", "child", "parent").repartition("component").sortWithinPartitions("component")
-    out = small.mapInPandas(_walk_batches, schema)
-    if not big.isEmpty():
-        out = out.unionByName(_double(placed.join(big, "component", "left_semi").select("child", "parent")))
-    return out
+    out = small.mapInPandas(_walk_batches(lines), schema)
+    if none:
+        return out
+    large = placed.join(big, "component", "left_semi")
+    # the link of a cycle that leads into its smallest id
+    closing = parents.join(ring.where("on_ring").select(F.col("id").alias("child"), F.col("component").alias("parent")), ["child", "parent"]).select(F.col("child").alias("node_id"), F.col("parent").alias("back_edge_to"))
+    far = large.select(F.col("child").alias("node_id"), F.when(F.col("depth") < 0, CYCLE).otherwise(F.col("component")).alias("root_id"), "depth").join(closing, "node_id", "left")
+    if lines:
+        tree, cyclic = climb(cut(large.select("child", "parent")), lines=True)
+        far = far.join(tree.select(F.col("id").alias("node_id"), "line").unionByName(rings(cyclic, lines=True).select(F.col("id").alias("node_id"), "line")), "node_id")
+    return out.unionByName(far.select(out.columns))
 
 
 def inherits_links(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -152,37 +203,21 @@ def inherits_links(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return e.select("child", "parent").distinct()
 
 
-def ancestor_pairs(links: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """Transitive closure (ancestor, node_id, distance) by doubling; distance is the shortest. Cycles end."""
-    p = parent_links(links).where("parent is not null")
-    pairs = cut(p.select(F.col("child").alias("node_id"), F.col("parent").alias("ancestor"), F.lit(1).cast("bigint").alias("distance")))
-    n = pairs.count()
-    for _ in range(max_rounds):
-        far = pairs.select(F.col("node_id").alias("ancestor"), F.col("ancestor").alias("a2"), F.col("distance").alias("d2"))
-        longer = pairs.join(far, "ancestor").select("node_id", F.col("a2").alias("ancestor"), (F.col("distance") + F.col("d2")).alias("distance"))
-        pairs = cut(pairs.unionByName(longer).groupBy("node_id", "ancestor").agg(F.min("distance").alias("distance")))
-        m = pairs.count()
-        if m == n:
-            return pairs
-        n = m
-    raise RuntimeError(f"the closure did not end within {max_rounds} rounds")
-
+def descendant_pairs(links: DataFrame, co_locate: int = 100_000) -> DataFrame:
+    """ancestor, descendant, distance: every id with each id below it; on a cycle, with all others of the cycle.
 
-def descendant_pairs(links: DataFrame) -> DataFrame:
-    """ancestor, descendant, distance: every id with each id below it; on a cycle, with all others of the cycle."""
-    return ancestor_pairs(links).where("node_id <> ancestor").select("ancestor", F.col("node_id").alias("descendant"), "distance")
+    The pairs are the lines of ancestors taken apart, so they are written once and never joined with each other.
+    """
+    h = build_hierarchy(links, co_locate, lines=True)
+    return h.select(F.col("node_id").alias("descendant"), F.posexplode("line").alias("_i", "ancestor")).select("ancestor", "descendant", (F.col("_i") + 1).cast("bigint").alias("distance"))
 
 
-def node_paths(links: DataFrame) -> DataFrame:
+def node_paths(links: DataFrame, co_locate: int = 100_000) -> DataFrame:
     """node_id, root_id, depth, path (root first, joined by `` > ``; null without a root) and descendants.
 
-    Paths are put together from the closure: each row holds its own line only.
+    A row holds its own line only; descendants are counted from the lines by partial aggregation.
     """
-    links = cut(links.select("child", "parent"))
-    h = build_hierarchy(links).select("node_id", "root_id", "depth")
-    pairs = ancestor_pairs(links).where("node_id <> ancestor")
-    lines = pairs.groupBy("node_id").agg(F.sort_array(F.collect_list(F.struct("distance", "ancestor")), asc=False).alias("line"))
-    below = pairs.groupBy(F.col("ancestor").alias("node_id")).agg(F.count("*").alias("descendants"))
-    out = h.join(lines, "node_id", "left").join(below, "node_id", "left")
-    path = F.concat_ws(" > ", F.coalesce(F.transform("line", lambda x: x["ancestor"]), F.array().cast("array<string>")), F.col("node_id"))
-    return out.select("node_id", "root_id", "depth", F.when(F.col("depth") >= 0, path).alias("path"), F.coalesce("descendants", F.lit(0)).cast("bigint").alias("descendants"))
+    h = cut(build_hierarchy(links, co_locate, lines=True).select("node_id", "root_id", "depth", "line"))
+    below = h.select(F.explode("line").alias("node_id")).groupBy("node_id").agg(F.count("*").alias("descendants"))
+    path = F.concat_ws(" > ", F.reverse("line"), F.col("node_id"))
+    return h.join(below, "node_id", "left").select("node_id", "root_id", "depth", F.when(F.col("depth") >= 0, path).alias("path"), F.coalesce("descendants", F.lit(0)).cast("bigint").alias("descendants"))

@@ -76,7 +76,7 @@ WITH RECURSIVE e0 AS (
 one AS (SELECT 'sym:?::' || name AS alias_id, min(id) AS full_id FROM nodes WHERE kind = 'Symbol' GROUP BY name HAVING min(id) = max(id)),
 e AS (SELECT DISTINCT coalesce(a.full_id, e0.c) AS c, coalesce(b.full_id, e0.p) AS p FROM e0 LEFT JOIN one a ON e0.c = a.alias_id LEFT JOIN one b ON e0.p = b.alias_id),
 par AS (SELECT c, min(p) AS p FROM e GROUP BY c),
-ids AS (SELECT c AS id FROM par UNION SELECT p FROM par),
+ids AS (SELECT c AS id FROM e UNION SELECT p FROM e),
 t(id, root_id, depth, path) AS (
   SELECT id, id, 0, id FROM ids WHERE id NOT IN (SELECT c FROM par)
   UNION ALL SELECT par.c, t.root_id, t.depth + 1, t.path || ' > ' || par.c FROM par JOIN t ON par.p = t.id)

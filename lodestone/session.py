@@ -5,11 +5,16 @@ from __future__ import annotations
 import io
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Applications that have the package, and folders that are there.
+_SHIPPED: set[str] = set()
+
+
 def build_session(app: str = "lodestone", master: str = "local[8]", partitions: int = 8) -> SparkSession:
     """A session with AQE, UTC and a shuffle width that suits a single node."""
     spark = (
@@ -42,12 +47,33 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """This application's own folder in the shared one; it goes when the application ends."""
+    sc = spark.sparkContext
+    at = f"{ensure_checkpoint_dir(spark)}/lodestone-{sc.applicationId}"
+    if at not in _SHIPPED:
+        path = sc._jvm.org.apache.hadoop.fs.Path(at)
+        fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        for own in (path, sc._jvm.org.apache.hadoop.fs.Path(sc.getCheckpointDir())):
+            fs.deleteOnExit(own)
+        _SHIPPED.add(at)
+    return at
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of ``df`` with a reliable checkpoint in the shared folder."""
-    ensure_checkpoint_dir(df.sparkSession)
+    """Cuts the lineage of ``df`` with a reliable checkpoint in the shared folder; partitions and their order stay."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def cut_table(df: DataFrame) -> DataFrame:
+    """The same through a written table, for wide or large rows: compressed, and readers take only the columns they name."""
+    at = f"{shared_folder(df.sparkSession)}/t-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -62,9 +88,6 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(width, key) if df.rdd.getNumPartitions() < width else df
 
 
-_SHIPPED: set[str] = set()
-
-
 def ship(spark: SparkSession) -> None:
     """Lets the executors import this package: sends it to them as one archive, once per application."""
     sc = spark.sparkContext
@@ -78,7 +101,7 @@ def ship(spark: SparkSession) -> None:
                 if n.endswith(".py"):
                     z.write(os.path.join(folder, n), os.path.relpath(os.path.join(folder, n), os.path.dirname(here)))
     # into the shared folder, from which Spark hands it out to the executors
-    at = f"{ensure_checkpoint_dir(spark)}/lodestone-{sc.applicationId}.zip"
+    at = f"{shared_folder(spark)}/package.zip"
     path = sc._jvm.org.apache.hadoop.fs.Path(at)
     out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path, True)
     try:

@@ -60,7 +60,7 @@ def test_cascade_is_a_fixpoint_and_survives_cycles(spark):
 
 
 LINKS = [("b", "a"), ("c", "b"), ("d", "b"), ("e", "e"), ("f", "e"), ("g", "h"), ("h", "g"), ("i", "h"), ("c", "b"), (None, "a"), ("z", None), ("k", "m"), ("k", "l")]
-WANT = {("a", "a", 0), ("b", "a", 1), ("c", "a", 2), ("d", "a", 2), ("e", "CYCLE", -1), ("f", "CYCLE", -1), ("g", "CYCLE", -1), ("h", "CYCLE", -1), ("i", "CYCLE", -1), ("l", "l", 0), ("k", "l", 1)}
+WANT = {("a", "a", 0), ("b", "a", 1), ("c", "a", 2), ("d", "a", 2), ("e", "CYCLE", -1), ("f", "CYCLE", -1), ("g", "CYCLE", -1), ("h", "CYCLE", -1), ("i", "CYCLE", -1), ("l", "l", 0), ("k", "l", 1), ("m", "m", 0)}
 
 
 def _rows(df):
@@ -80,6 +80,8 @@ def test_long_chain(spark):
     want = {(f"n{i:04d}", "n0000", i) for i in range(n + 1)}
     assert _rows(H.build_hierarchy(df)) == want
     assert _rows(H.build_hierarchy(df, co_locate=10)) == want
+    pairs = H.descendant_pairs(df, co_locate=10)
+    assert pairs.count() == n * (n + 1) // 2
 
 
 def test_paths_and_descendants(spark):
@@ -89,3 +91,40 @@ def test_paths_and_descendants(spark):
 
 def test_no_links(spark):
     assert H.build_hierarchy(spark.createDataFrame([], "child string, parent string")).count() == 0
+
+
+def test_every_parent_keeps_its_row(spark):
+    got = _rows(H.build_hierarchy(spark.createDataFrame([("m", "p1"), ("m", "p2"), ("p2", "q")], "child string, parent string")))
+    assert got == {("m", "p1", 1), ("p1", "p1", 0), ("p2", "q", 1), ("q", "q", 0)}
+
+
+def _brute(links):
+    """node -> root, depth, line, back edge."""
+    up = {}
+    for c, p in links:
+        up[c] = min(p, up.get(c, p))
+    out = {}
+    for x in {i for link in links for i in link}:
+        line, at = [], up.get(x)
+        while at is not None and at not in line and at != x:
+            line.append(at)
+            at = up.get(at)
+        if at is None:
+            out[x] = (line[-1] if line else x, len(line), line, None)
+            continue
+        ring, at = [], at
+        while at not in ring:
+            ring.append(at)
+            at = up[at]
+        out[x] = ("CYCLE", -1, line, min(ring) if x in ring and up[x] == min(ring) else None)
+    return out
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(0, 14), st.integers(0, 14)), min_size=1, max_size=14))
+def test_hierarchies_against_brute_force(spark, links):
+    links = [(f"n{a:02d}", f"n{b:02d}") for a, b in links]
+    df = spark.createDataFrame(links, "child string, parent string")
+    for most in (100_000, 0):
+        h = H.build_hierarchy(df, co_locate=most, lines=True)
+        assert {r.node_id: (r.root_id, r.depth, list(r.line), r.back_edge_to) for r in h.collect()} == _brute(links)
