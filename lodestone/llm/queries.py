@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
-from . import handwritten, packing
+from . import handwritten, neighbours, packing
 from ..session import spread
 from ..sources.tables import table
 from .files import per_file, windows
@@ -76,6 +76,16 @@ def p6_found(spark, d):
     return similar_pairs(table(spark, d, "vector_store", ["vec_id", "embedding"]))
 
 
+@R.add("p6_search")
+def p6_search(spark, d):
+    """Greedy graph search: every vector whose id is divisible by 20 as a query against all vectors, its five best with their similarity."""
+    usable = neighbours.usable_vectors(table(spark, d, "vector_store", ["vec_id", "embedding"]))
+    packed = neighbours.pack(usable)
+    index = neighbours.build_index(packed)
+    queries = packed.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "v")
+    return neighbours.search(index, queries).select("query_id", "vec_id", F.round("sim", 9).alias("similarity"))
+
+
 @R.add("p10_found")
 def p10_found(spark, d):
     return sentence_rows(_documents(spark, d)).distinct()

@@ -186,8 +186,43 @@ def test_few_vectors(spark):
 def test_greedy_search_over_the_graph(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(400, 64)).astype(np.float32)
-    packed = N.pack(spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(x)], "vec_id bigint, embedding array<float>")).cache()
-    graph = N.neighbour_graph(packed, leaf=64, sample=200)
+    packed = N.pack(spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(x)], "vec_id bigint, embedding array<float>"))
+    index = N.build_index(packed, leaf=64, sample=200)
     q = N.pack(spark.createDataFrame([(i, (x[i * 7] + 0.05 * rng.normal(size=64)).tolist()) for i in range(20)], "vec_id bigint, embedding array<float>")).withColumnRenamed("vec_id", "query_id")
-    best = {r.query_id: r.vec_id for r in N.search(graph, packed, q, top=1).collect()}
+    best = {r.query_id: r.vec_id for r in N.search(index, q, top=1).collect()}
     assert sum(best[i] == i * 7 for i in range(20)) >= 18
+
+
+def _index_recall(spark, **options):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(500, 64)) + 3 * (np.arange(500) % 9 == 0)[:, None] * np.eye(1, 64)
+    packed = N.pack(spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(x.astype(np.float32))], "vec_id bigint, embedding array<float>"))
+    graph = {(r.a, r.b) for r in N.build_index(packed, k=10, settled=0.0, **options).graph.collect()}
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = y @ y.T
+    np.fill_diagonal(s, -2)
+    want = {(i, int(j)) for i in range(500) for j in np.argsort(-s[i])[:10]}
+    return len(graph & want) / len(want)
+
+
+def test_large_leaves_are_split_by_the_data(spark):
+    assert _index_recall(spark, leaf=500, largest=60, sample=4) >= 0.9
+
+
+def test_hubs_are_joined_in_all_pairs_of_parts(spark):
+    # parts of four members: a graph whose hubs lost candidates would stop far lower
+    assert _index_recall(spark, leaf=32, sample=500, chunk=4) >= 0.9
+
+
+def test_a_hub_in_parts_gives_what_it_gives_whole():
+    import pandas as pd
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(30, 64)).astype(np.float32)
+    given = pd.DataFrame({"id": range(30), "home": 1, "worst": -2.0, "last": 0, "v": [e.tobytes() for e in x]})
+    whole = pd.DataFrame({"centre": 99, "unit": 0, "part": 0, "b": range(30), "fresh": 1})
+    part = np.arange(30) % 3
+    rows = [(99, min(p, o) * 3 + max(p, o), p, b, 1) for b, p in enumerate(part) for o in range(3)]
+    parts = pd.DataFrame(rows, columns=["centre", "unit", "part", "b", "fresh"])
+    one, two = N._join_locally(whole, given, 30), N._join_locally(parts, given, 30)
+    assert {tuple(r) for r in one[["a", "b"]].to_numpy()} == {tuple(r) for r in two[["a", "b"]].to_numpy()} and len(one) == 30 * 29
