@@ -18,6 +18,8 @@ from collections.abc import Callable
 Node = tuple
 _SYNTAX = re.compile(r"\s*(?:(?P<lit>'[^']+')|(?P<text>\"[^\"]+\")|(?P<name>%?[A-Za-z_][A-Za-z_0-9]*)|(?P<op>[|()*+?&!]))")
 ANY = "\0any"
+#: Nested calls that the quick way may take; beyond them :meth:`Parser.run_program` parses with a stack of its own.
+MOST_CALLS = 20_000
 
 
 def _read(text: str) -> Node:
@@ -130,6 +132,8 @@ class Parser:
         self.far = [0]
         self.memo: dict[tuple[str, int], int] = {}
         self._made: dict[str, Callable[[int], int]] = {}
+        self.first_rule = start
+        self._code: list[list] = []
         self.start = self._rule(start)
 
     def first(self, node: Node) -> tuple[frozenset, bool]:
@@ -306,17 +310,166 @@ class Parser:
         return plus
 
     def parse(self, tokens: Tokens) -> int | None:
-        """None if the grammar takes the whole stream, else the offset of the first token it can't go past."""
+        """None if the grammar takes the whole stream, else the offset of the first token it can't go past.
+
+        What is nested too deeply for calls is parsed by the same grammar as a program with a stack of its own.
+        """
         self.kinds[:] = tokens.kinds
         self.texts[:] = tokens.texts
         self.breaks[:] = tokens.breaks
         self.far[0] = 0
         self.memo.clear()
         limit = sys.getrecursionlimit()
-        sys.setrecursionlimit(400_000)
+        sys.setrecursionlimit(max(limit, MOST_CALLS))
         try:
             end = self.start(0)
+        except RecursionError:
+            self.far[0] = 0
+            self.memo.clear()
+            end = self.run_program()
         finally:
             sys.setrecursionlimit(limit)
             self.memo.clear()
         return None if end >= 0 else tokens.places[min(self.far[0], len(tokens.places) - 1)]
+
+    def _program(self) -> list[list]:
+        """The grammar as instructions; the rule the parser starts with comes first."""
+        if self._code:
+            return self._code
+        code: list[list] = [["call", self.first_rule], ["end"]]
+        at: dict[str, int] = {}
+
+        def put(node: Node) -> None:
+            tag = node[0]
+            if tag in ("kind", "text", "word", "nl"):
+                code.append([tag, *node[1:]])
+            elif tag == "rule":
+                code.append(["call", node[1]])
+            elif tag == "seq":
+                for x in node[1]:
+                    put(x)
+            elif tag == "alt":
+                op = ["alt", {}, ()]
+                code.append(op)
+                starts, ends = [], []
+                for x in node[1]:
+                    starts.append(len(code))
+                    put(x)
+                    ends.append(["commit", 0])
+                    code.append(ends[-1])
+                for e in ends:
+                    e[1] = len(code)
+                firsts = [self.first(x) for x in node[1]]
+                op[2] = tuple(p for p, (f, e) in zip(starts, firsts) if e or ANY in f)
+                for k in {k for f, _ in firsts for k in f if k != ANY}:
+                    op[1][k] = tuple(p for p, (f, e) in zip(starts, firsts) if e or k in f or ANY in f)
+            elif tag in ("opt", "star", "plus"):
+                if tag == "plus":
+                    put(node[1])
+                op = ["choice", 0]
+                code.append(op)
+                body = len(code)
+                put(node[1])
+                code.append(["commit", len(code) + 1] if tag == "opt" else ["again", body])
+                op[1] = len(code)
+            else:  # ahead, not
+                op = ["choice", 0]
+                code.append(op)
+                put(node[1])
+                code.append(["seen" if tag == "ahead" else "unwanted", len(code) + 2])
+                op[1] = len(code)
+                if tag == "ahead":
+                    code.append(["fail"])
+
+        for name, node in self.rules.items():
+            at[name] = len(code)
+            put(node)
+            code.append(["return"])
+        for op in code:
+            if op[0] == "call":
+                op.append(at[op[1]])
+        self._code = code
+        return code
+
+    def run_program(self) -> int:
+        """The whole stream by the instructions: the end, or -1. The stack is a list, so depth is bounded by memory only."""
+        code, kinds, texts, breaks, far, memo = self._program(), self.kinds, self.texts, self.breaks, self.far, self.memo
+        stack: list[list] = []  # ["back", instruction, place], ["alts", alternatives, next, place], ["from", instruction, memo key]
+        pc = i = 0
+        while True:
+            op = code[pc]
+            tag = op[0]
+            ok = True
+            if tag == "kind":
+                ok = kinds[i] == op[1]
+                i, pc = i + ok, pc + 1
+            elif tag == "text":
+                ok = texts[i] == op[1] and kinds[i] == "NAME"
+                i, pc = i + ok, pc + 1
+            elif tag == "word":
+                ok = kinds[i] == "NAME" or kinds[i] != "EOF" and kinds[i].isidentifier() and kinds[i].islower()
+                i, pc = i + ok, pc + 1
+            elif tag == "nl":
+                ok, pc = breaks[i], pc + 1
+            elif tag == "call":
+                key = (op[1], i) if op[1] in self.remembered else None
+                got = memo.get(key) if key else None
+                if got is None:
+                    stack.append(["from", pc + 1, key])
+                    pc = op[2]
+                elif got >= 0:
+                    i, pc = got, pc + 1
+                else:
+                    ok = False
+            elif tag == "return":
+                _, pc, key = stack.pop()
+                if key:
+                    memo[key] = i
+            elif tag == "alt":
+                alts = op[1].get(kinds[i], op[2])
+                ok = bool(alts)
+                if ok:
+                    stack.append(["alts", alts, 1, i])
+                    pc = alts[0]
+            elif tag == "choice":
+                stack.append(["back", op[1], i])
+                pc += 1
+            elif tag == "commit":
+                stack.pop()
+                pc = op[1]
+            elif tag == "again":
+                if stack[-1][2] == i:
+                    stack.pop()
+                    pc += 1
+                else:
+                    stack[-1][2] = i
+                    pc = op[1]
+            elif tag == "seen":
+                i = stack.pop()[2]
+                pc = op[1]
+            elif tag == "unwanted":
+                i = stack.pop()[2]
+                ok = False
+            elif tag == "fail":
+                ok = False
+            else:
+                return i
+            if ok:
+                continue
+            if i > far[0]:
+                far[0] = i
+            while stack:
+                top = stack[-1]
+                if top[0] == "back":
+                    stack.pop()
+                    pc, i = top[1], top[2]
+                    break
+                if top[0] == "alts" and top[2] < len(top[1]):
+                    pc, i = top[1][top[2]], top[3]
+                    top[2] += 1
+                    break
+                stack.pop()
+                if top[0] == "from" and top[2]:
+                    memo[top[2]] = -1
+            else:
+                return -1

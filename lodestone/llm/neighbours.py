@@ -295,7 +295,7 @@ def _descend(graph: DataFrame, nodes: DataFrame, k: int, chunk: int) -> DataFram
     return near.groupBy("block").cogroup(vectors.groupBy("to_block")).applyInPandas(lambda x, y: _join_locally(x, y, k), _PAIRS)
 
 
-def build_index(packed: DataFrame, k: int = 10, trees: int = 3, settled: float = 0.02, leaf: int = 512, largest: int = 8192, sample: int = 20_000, chunk: int = 512, max_rounds: int = 64) -> Index:
+def build_index(packed: DataFrame, k: int = 10, trees: int = 3, settled: float = 0.1, leaf: int = 512, largest: int = 8192, sample: int = 20_000, chunk: int = 512, max_rounds: int = 64) -> Index:
     """(vec_id, v) -> the graph of about the k nearest b of every a, and what a search over it needs.
 
     Rounds end when fewer than ``settled`` of the neighbours are new; more than ``max_rounds`` are an error.

@@ -2,7 +2,7 @@
 
 Sizes are whole numbers up to the capacity, so the histogram has at most capacity + 1 classes, however many texts
 there are. Best-fit decreasing runs on it for whole classes at a time: bins with equal residuals (tokens, number
-of texts, attention cost) are one class with ranges of bin numbers; among the classes that fit under every
+of texts, attention cost in tiles) are one class with ranges of bin numbers; among the classes that fit under every
 constraint the one with the smallest weighted norm of residuals is filled. The plan (which ranks of a size go
 to which bins) is bounded by the capacity as well; each text finds its bin by its rank among the texts of its size,
 which is counted per partition, so no size is ever gathered in one task.
@@ -28,9 +28,27 @@ MOST_TEXTS = 1024  #: texts in one container
 WEIGHTS = (1.0, 0.05, 0.05)  #: of the residual tokens, texts and attention cost, each as a share of its capacity
 
 
-def plan_bins(histogram: dict[int, int], capacity: int, most_texts: int = MOST_TEXTS, most_cost: int | None = None, weights: tuple[float, float, float] = WEIGHTS) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """(size, first rank, last rank + 1, first bin, texts per bin) rows and the number of bins."""
-    full = np.array([capacity, most_texts, most_cost or capacity * capacity], dtype=np.float64)
+def tile_of(capacity: int) -> int:
+    """Tokens of a side of an attention tile: the power of two above the root of the capacity, 16 to 128."""
+    return min(128, max(16, 1 << int(np.sqrt(capacity)).bit_length()))
+
+
+def attention_cost(size: int, tile: int) -> int:
+    """Attention is computed in tiles: a text costs the square of its size, rounded up to whole tiles."""
+    return (-(-size // tile) * tile) ** 2
+
+
+def plan_bins(histogram: dict[int, int], capacity: int, most_texts: int = MOST_TEXTS, most_cost: int | None = None, weights: tuple[float, float, float] = WEIGHTS, tile: int | None = None) -> tuple[list[tuple[int, int, int, int, int]], int]:
+    """(size, first rank, last rank + 1, first bin, texts per bin) rows and the number of bins.
+
+    ``most_cost`` defaults to what one text of the full capacity costs; since a text costs at least one tile, it
+    is the bound that holds where many small texts come together.
+    """
+    tile = tile or tile_of(capacity)
+    most_cost = most_cost or attention_cost(capacity, tile)
+    if most_cost < attention_cost(capacity, tile):
+        raise ValueError("a text that fills the container must be allowed its cost")
+    full = np.array([capacity, most_texts, most_cost], dtype=np.float64)
     w = np.array(weights) / full
     classes: dict[tuple[int, int, int], list[list[int]]] = {}  # residuals -> ranges [first, last + 1) of bins
     table = np.zeros((0, 3), dtype=np.int64)
@@ -46,7 +64,7 @@ def plan_bins(histogram: dict[int, int], capacity: int, most_texts: int = MOST_T
 
     def fits(key, size: int) -> int:
         by_tokens = key[0] // size if size else key[1]
-        by_cost = key[2] // (size * size) if size else key[1]
+        by_cost = key[2] // attention_cost(size, tile) if size else key[1]
         return int(min(by_tokens, key[1], by_cost))
 
     for size in sorted(histogram, reverse=True):
@@ -57,11 +75,11 @@ def plan_bins(histogram: dict[int, int], capacity: int, most_texts: int = MOST_T
                 stale = False
             n = np.zeros(0, dtype=np.int64)
             if len(table):
-                d = np.array([max(size, 1), 1, max(size * size, 1)])
+                d = np.array([max(size, 1), 1, max(attention_cost(size, tile), 1)])
                 q = table // d if size else np.stack([table[:, 1]] * 3, axis=1)
                 n = q.min(axis=1)
             if len(n) and n.max() > 0:
-                after = table - n[:, None] * np.array([size, 1, size * size])
+                after = table - n[:, None] * np.array([size, 1, attention_cost(size, tile)])
                 norm = ((after * w) ** 2).sum(axis=1)
                 norm[n <= 0] = np.inf
                 key = tuple(int(x) for x in table[int(norm.argmin())])
@@ -72,7 +90,7 @@ def plan_bins(histogram: dict[int, int], capacity: int, most_texts: int = MOST_T
                     del classes[key]
                     stale = True
             else:
-                key = (capacity, most_texts, most_cost or capacity * capacity)
+                key = (capacity, most_texts, most_cost)
                 per = max(1, fits(key, size))
                 a = bins
                 b = bins = bins + -(-left // per)
@@ -80,10 +98,10 @@ def plan_bins(histogram: dict[int, int], capacity: int, most_texts: int = MOST_T
             placed = min(left, used * per)
             rows.append((size, rank, rank + placed, a, per))
             whole = placed // per
-            put((key[0] - per * size, key[1] - per, key[2] - per * size * size), [a, a + whole])
+            put((key[0] - per * size, key[1] - per, key[2] - per * attention_cost(size, tile)), [a, a + whole])
             rest = placed - whole * per
             if rest:
-                put((key[0] - rest * size, key[1] - rest, key[2] - rest * size * size), [a + whole, a + whole + 1])
+                put((key[0] - rest * size, key[1] - rest, key[2] - rest * attention_cost(size, tile)), [a + whole, a + whole + 1])
             put(key, [a + used, b])
             left -= placed
             rank += placed

@@ -2,8 +2,7 @@
 
 Every language has a lexer and a grammar as text (:mod:`.grammars`); the grammar becomes a table-driven predictive
 parser once per process. A file is valid if its whole token stream is taken; else the line of the first token
-that no alternative gets past is reported. Where Python's own library has a parser of the very language (Python, JSON,
-TOML), a file that the grammar rejects is tried there as well before it is reported.
+that no alternative gets past is reported. Files of any depth are parsed in full.
 
 Defined results: an empty file is valid but for JSON, whose grammar needs a value; extensions without a grammar are
 never reported; bytes that lines can't hold don't occur, since the text comes decoded.
@@ -11,11 +10,7 @@ never reported; bytes that lines can't hold don't occur, since the text comes de
 
 from __future__ import annotations
 
-import ast
 import functools
-import json
-import tomllib
-import warnings
 from collections.abc import Callable
 
 from .grammars import lexers, rules
@@ -48,36 +43,12 @@ def extension(file: str) -> str | None:
 
 
 def grammar_error(ext: str, text: str) -> int | None:
-    """The offset of the first error, by the grammar alone."""
+    """The offset of the first error."""
     try:
         tokens = _LANGUAGES[ext][0](text)
     except LexError as e:
         return e.place
-    try:
-        return _parser(ext).parse(tokens)
-    except RecursionError:
-        return None
-
-
-def _library_takes(ext: str, text: str) -> bool:
-    try:
-        if ext == "py":
-            with warnings.catch_warnings():
-                warnings.simplefilter("ignore")
-                ast.parse(text)
-        elif ext == "json":
-            json.loads(text, parse_constant=_no_constant)
-        elif ext == "toml":
-            tomllib.loads(text)
-        else:
-            return False
-    except (ValueError, SyntaxError, RecursionError, MemoryError):
-        return False
-    return True
-
-
-def _no_constant(name: str) -> None:
-    raise ValueError(name)
+    return _parser(ext).parse(tokens)
 
 
 def first_error(file: str, text: str) -> tuple[int, str] | None:
@@ -86,7 +57,7 @@ def first_error(file: str, text: str) -> tuple[int, str] | None:
     if ext is None:
         return None
     at = grammar_error(ext, text)
-    if at is None or _library_takes(ext, text):
+    if at is None:
         return None
     line = text.count("\n", 0, at) + 1
     return line, text[at : at + 24].split("\n", 1)[0]

@@ -68,3 +68,63 @@ def test_dispatch_tables_follow_first_sets():
 def test_deep_nesting_does_not_crash():
     assert S.grammar_error("json", "[" * 3000 + "]" * 3000) is None
     assert S.grammar_error("json", "[" * 3000) is not None
+
+
+@pytest.mark.parametrize("ext,text", [(e, t) for e, ts in GOOD.items() for t in ts] + [(e, t) for e, ts in BAD.items() for t, _ in ts])
+def test_the_program_takes_what_the_calls_take(ext, text):
+    try:
+        tokens = S._LANGUAGES[ext][0](text)
+    except S.LexError:
+        return
+    p = S._parser(ext)
+    want = p.parse(tokens)
+    p.kinds[:], p.texts[:], p.breaks[:] = tokens.kinds, tokens.texts, tokens.breaks
+    p.far[0] = 0
+    p.memo.clear()
+    end = p.run_program()
+    assert (end >= 0) == (want is None)
+    if want is not None:
+        assert tokens.places[min(p.far[0], len(tokens.places) - 1)] == want
+
+
+@pytest.mark.parametrize("n", [20_000, 150_000])
+def test_files_of_any_depth_are_parsed(n):
+    assert S.grammar_error("json", "[" * n + "]" * n) is None
+    assert S.grammar_error("json", "[" * n) is not None
+    assert S.grammar_error("js", "x = " + "[" * n + "]" * n + ";") is None
+    assert S.grammar_error("js", "x = " + "[" * n + ";") is not None
+
+
+def test_grammars_agree_with_the_library_parsers(data):
+    """Python, JSON and TOML files, and the same cut off in the middle, against the parsers of Python's library."""
+    import ast
+    import json
+    import tomllib
+    import warnings
+
+    import pyarrow.parquet as pq
+
+    from lodestone.llm.files import assemble
+
+    def refuse(name):
+        raise ValueError(name)
+
+    library = {"py": ast.parse, "json": lambda t: json.loads(t, parse_constant=refuse), "toml": tomllib.loads}
+    files = {}
+    for r in pq.read_table(f"{data}/store_meta.parquet", columns=["file", "start_line", "end_line", "doc"]).to_pylist():
+        if r["file"] and r["doc"] is not None and S.extension(r["file"]) in library:
+            files.setdefault(r["file"], []).append(r)
+    n = 0
+    for file, parts in files.items():
+        whole = assemble(parts)
+        for text in (whole, whole[: len(whole) // 2], whole[: len(whole) // 3] + ")" + whole[len(whole) // 3 :]):
+            try:
+                with warnings.catch_warnings():
+                    warnings.simplefilter("ignore")
+                    library[S.extension(file)](text)
+                good = True
+            except (ValueError, SyntaxError):
+                good = False
+            assert (S.grammar_error(S.extension(file), text) is None) == good, (file, text[-200:])
+            n += 1
+    assert n > 0

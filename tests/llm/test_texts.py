@@ -124,6 +124,25 @@ def test_plans_hold_every_item_once_within_every_capacity(histogram, most):
     assert {k: set(range(n)) for k, n in histogram.items()} == seen
 
 
+def test_attention_cost_binds():
+    # 512 texts of one token: tokens and texts would let all into one container, 256 tiles fill its attention cost
+    rows, bins = P.plan_bins({1: 512}, 512)
+    assert bins == 2 and P.plan_bins({1: 512}, 512, tile=1)[1] == 1
+    with pytest.raises(ValueError):
+        P.plan_bins({1: 64}, 512, most_cost=1000)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.dictionaries(st.integers(0, 50), st.integers(1, 30), max_size=10))
+def test_every_capacity_holds(histogram):
+    rows, bins = P.plan_bins(histogram, 50, 9, tile=8)
+    cost = [0] * bins
+    for size, lo, hi, first, per in rows:
+        for r in range(lo, hi):
+            cost[first + (r - lo) // per] += P.attention_cost(size, 8)
+    assert all(c <= P.attention_cost(50, 8) for c in cost)
+
+
 def test_pack(spark):
     rng = np.random.default_rng(3)
     sizes = [(i, int(x)) for i, x in enumerate(rng.integers(0, 260, 800))] + [(900, 1000)]
@@ -193,15 +212,15 @@ def test_greedy_search_over_the_graph(spark):
     assert sum(best[i] == i * 7 for i in range(20)) >= 18
 
 
-def _index_recall(spark, **options):
+def _index_recall(spark, n=300, **options):
     rng = np.random.default_rng(8)
-    x = rng.normal(size=(500, 64)) + 3 * (np.arange(500) % 9 == 0)[:, None] * np.eye(1, 64)
+    x = rng.normal(size=(n, 8)) @ rng.normal(size=(8, 64))
     packed = N.pack(spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(x.astype(np.float32))], "vec_id bigint, embedding array<float>"))
-    graph = {(r.a, r.b) for r in N.build_index(packed, k=10, settled=0.0, **options).graph.collect()}
+    graph = {(r.a, r.b) for r in N.build_index(packed, k=10, settled=0.02, **options).graph.collect()}
     y = x / np.linalg.norm(x, axis=1, keepdims=True)
     s = y @ y.T
     np.fill_diagonal(s, -2)
-    want = {(i, int(j)) for i in range(500) for j in np.argsort(-s[i])[:10]}
+    want = {(i, int(j)) for i in range(n) for j in np.argsort(-s[i])[:10]}
     return len(graph & want) / len(want)
 
 
@@ -211,7 +230,7 @@ def test_large_leaves_are_split_by_the_data(spark):
 
 def test_hubs_are_joined_in_all_pairs_of_parts(spark):
     # parts of four members: a graph whose hubs lost candidates would stop far lower
-    assert _index_recall(spark, leaf=32, sample=500, chunk=4) >= 0.9
+    assert _index_recall(spark, n=120, leaf=16, sample=500, chunk=12) >= 0.9
 
 
 def test_a_hub_in_parts_gives_what_it_gives_whole():
