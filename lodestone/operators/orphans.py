@@ -1,9 +1,12 @@
-"""References to records that do not exist (foreign keys over time).
+"""References to records that do not exist (foreign keys over time), direct and inherited.
 
-A reference is an orphan if no target row of its key is alive at the time of the reference.
-Targets are folded per key into *disjoint* life spans before the join, so the target side of every
-join has one row per key: a hot key on the reference side is split by AQE's skew join, and a key
-defined in very many rows is folded in two levels (key x month, then key).
+A reference is alive if, of the target rows of its key that were created by then, the one that ends last has not ended
+yet. So aliveness is a running maximum over time, which is taken in two steps: per key and day by partial aggregation (one row
+a day, however hot the key), and inside the day of the reference. Rows are shuffled once, by key and day, so a
+key that holds a third of all rows lies in as many tasks as it has days; spans are never gathered.
+
+What dangles itself orphans the record that holds it, and with it the references to that record, to a fixpoint
+(:func:`orphan_cascade`, :func:`orphan_levels`).
 
 Defined results
 ---------------
@@ -17,7 +20,7 @@ Defined results
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -35,47 +38,34 @@ def clean_edge_id(c: Column) -> Column:
     return F.translate(clean_reference(c), "\\", "/")
 
 
-def _fold(spans: Column) -> Column:
-    """Merges an array of (a, b) spans, b null = open, into disjoint spans in order."""
-    far = F.to_timestamp_ntz(F.lit("9999-12-31 00:00:00"))
-    zero = F.array().cast("array<struct<a:timestamp_ntz,b:timestamp_ntz>>")
-
-    def step(acc: Column, x: Column) -> Column:
-        b = F.coalesce(x["b"], far)
-        last = F.element_at(acc, -1)
-        grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["a"].alias("a"), F.greatest(last["b"], b).alias("b"))))
-        return F.when((F.size(acc) > 0) & (x["a"] <= F.try_element_at(acc, F.lit(-1))["b"]), grown).otherwise(F.concat(acc, F.array(F.struct(x["a"].alias("a"), b.alias("b")))))
-
-    return F.aggregate(F.array_sort(spans), zero, step)
-
-
-def life_spans(targets: DataFrame) -> DataFrame:
-    """(key, created_at, removed_at) -> one row per key: spans, last_created.
-
-    An open row makes every later row of its key redundant, so only the earliest open row is kept;
-    what remains is merged per key and month of creation, then per key.
-    """
-    t = targets.select("key", F.col("created_at").cast("timestamp_ntz").alias("a"), F.col("removed_at").cast("timestamp_ntz").alias("b")).where("key is not null")
-    alive = t.where("a is not null and (b is null or b > a)")
-    closed = alive.where("b is not null").groupBy("key", F.trunc("a", "month").alias("m")).agg(_fold(F.collect_set(F.struct("a", "b"))).alias("s"))
-    opened = alive.where("b is null").groupBy("key").agg(F.min("a").alias("a"))
-    opened = opened.select("key", F.lit(None).cast("date").alias("m"), F.array(F.struct(F.col("a"), F.lit(None).cast("timestamp_ntz").alias("b"))).cast("array<struct<a:timestamp_ntz,b:timestamp_ntz>>").alias("s"))
-    spans = closed.unionByName(opened).groupBy("key").agg(_fold(F.flatten(F.collect_list("s"))).alias("spans"))
-    known = t.groupBy("key").agg(F.max("a").alias("last_created"))
-    return known.join(spans, "key", "left")
-
-
 def find_orphans(references: DataFrame, targets: DataFrame) -> DataFrame:
     """references(src_table, row_id, key, seen_at) x targets(key, created_at, removed_at) -> orphans with a reason.
 
     reason is ``missing`` (no target row at all), ``late`` (some target is created after the reference)
     or ``deleted``. Other columns of either side are left out.
     """
-    r = references.select("src_table", "row_id", "key", "seen_at").where("key is not null").withColumn("_seen", F.col("seen_at").cast("timestamp_ntz"))
-    j = r.join(life_spans(targets).select(F.col("key"), F.lit(True).alias("_known"), "spans", "last_created"), "key", "left")
-    alive = F.coalesce(F.exists("spans", lambda s: (s["a"] <= F.col("_seen")) & (F.col("_seen") < s["b"])), F.lit(False))
-    reason = F.when(F.col("_known").isNull(), "missing").when(F.coalesce(F.col("last_created") > F.col("_seen"), F.lit(False)), "late").otherwise("deleted")
-    return j.where(~alive).withColumn("reason", reason).drop("_known", "spans", "last_created", "_seen")
+    never = F.to_timestamp_ntz(F.lit("0001-01-01 00:00:00"))
+    far = F.to_timestamp_ntz(F.lit("9999-12-31 00:00:00"))
+    r = references.select("src_table", "row_id", "key", "seen_at").where("key is not null").withColumn("t", F.col("seen_at").cast("timestamp_ntz"))
+    r = r.withColumn("d", F.to_date(F.coalesce("t", never)))
+    x = targets.select("key", F.col("created_at").cast("timestamp_ntz").alias("t"), F.col("removed_at").cast("timestamp_ntz").alias("e")).where("key is not null")
+    x = x.groupBy("key", "t").agg(F.max(F.coalesce("e", far)).alias("e")).withColumn("d", F.to_date(F.coalesce("t", never)))
+    ends = F.when(F.col("t").isNotNull() & (F.col("e") > F.col("t")), F.col("e")).alias("e")
+    # per key and day: the latest end among the rows created before that day, and the last creation of the key
+    days = x.select("key", "d", "t", ends, F.lit(1).alias("k")).unionByName(r.select("key", "d", F.lit(None).cast("timestamp_ntz").alias("t"), F.lit(None).cast("timestamp_ntz").alias("e"), F.lit(0).alias("k")))
+    days = days.groupBy("key", "d").agg(F.max("e").alias("e"), F.max("t").alias("t"), F.max("k").alias("k"), F.min("k").alias("used"))
+    w = Window.partitionBy("key")
+    before = F.max("e").over(w.orderBy("d").rowsBetween(Window.unboundedPreceding, -1))
+    days = days.select("key", "d", before.alias("before"), F.max("t").over(w).alias("last"), F.max("k").over(w).alias("known"), "used").where("used = 0").drop("used")
+    # inside the day: target rows come before references of the same time
+    rows = r.select("key", "d", "t", F.lit(1).alias("side"), "src_table", "row_id", "seen_at", F.lit(None).cast("timestamp_ntz").alias("e")).unionByName(
+        x.where("t is not null").select("key", "d", "t", F.lit(0).alias("side"), F.lit(None).cast("string").alias("src_table"), F.lit(None).cast(dict(r.dtypes)["row_id"]).alias("row_id"), F.lit(None).cast(dict(r.dtypes)["seen_at"]).alias("seen_at"), ends)
+    )
+    today = F.max("e").over(Window.partitionBy("key", "d").orderBy("t", "side").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    j = rows.withColumn("today", today).where("side = 1").join(days, ["key", "d"])
+    alive = F.coalesce(F.greatest("today", "before") > F.col("t"), F.lit(False))
+    reason = F.when(F.col("known") == 0, "missing").when(F.coalesce(F.col("last") > F.col("t"), F.lit(False)), "late").otherwise("deleted")
+    return j.where(~alive).select("src_table", "row_id", "key", "seen_at", reason.alias("reason"))
 
 
 def edge_references(edges: DataFrame) -> DataFrame:
@@ -108,9 +98,39 @@ def all_orphans(edges: DataFrame, refs: DataFrame, imports: DataFrame, nodes: Da
     return e.select(cols).unionByName(r.select(cols)).unionByName(i.select(cols))
 
 
-def orphan_report(orphans: DataFrame) -> DataFrame:
-    """Orphans per table, month of the reference and reason."""
-    return orphans.groupBy("src_table", F.date_format("seen_at", "yyyy-MM").alias("month"), "reason").agg(F.count("*").alias("orphans"))
+def record_links(edges: DataFrame, refs: DataFrame, imports: DataFrame, nodes: DataFrame) -> DataFrame:
+    """src_table, row_id, seen_at, owner, record: which record holds a reference and which one it leads to.
+
+    An edge belongs to its source, references and imports to the node of their file. A reference by name (refs, and edges to
+    ``sym:?::``) leads to a record only where exactly one Symbol node has the name.
+    """
+    one = nodes.where("kind = 'Symbol' and name is not null").groupBy("name").agg(F.min("id").alias("full_id"), F.max("id").alias("_hi")).where("full_id = _hi")
+    one = one.select(F.concat(F.lit(SYMBOL_BY_NAME), "name").alias("record"), "full_id")
+    e = edges.select(F.lit("edges").alias("src_table"), F.col("edge_id").alias("row_id"), "seen_at", clean_edge_id(F.col("src_id")).alias("owner"), clean_edge_id(F.col("dst_id")).alias("record"))
+    r = refs.select(F.lit("refs").alias("src_table"), F.col("ref_id").alias("row_id"), "seen_at", F.concat(F.lit("file:"), "file").alias("owner"), F.concat(F.lit(SYMBOL_BY_NAME), clean_reference(F.col("symbol"))).alias("record"))
+    i = imports.select(F.lit("imports").alias("src_table"), F.col("import_id").alias("row_id"), "seen_at", F.concat(F.lit("file:"), "file").alias("owner"), F.concat(F.lit("module:"), clean_reference(F.col("target"))).alias("record"))
+    # one pass drops repeated rows; names that one node bears are joined on (one row per name, so a hot name is split)
+    every = e.unionByName(r).unionByName(i).dropDuplicates(["src_table", "row_id"])
+    return every.join(one, "record", "left").select("src_table", "row_id", "seen_at", "owner", F.coalesce("full_id", "record").alias("record"))
+
+
+def orphan_levels(links: DataFrame, orphans: DataFrame) -> DataFrame:
+    """links of :func:`record_links` and the orphans among them -> src_table, row_id, seen_at, reason, level.
+
+    level 0 is a direct orphan, with its reason; a reference to a record that is orphaned at level n is ``inherited``
+    at level n + 1, though its record is there.
+    """
+    links, orphans = cut(links), cut(orphans.select("src_table", "row_id", "seen_at", "reason"))
+    direct = links.join(orphans.select("src_table", "row_id"), ["src_table", "row_id"], "left_semi").select(F.col("owner").alias("id"))
+    known = orphan_cascade(links.select(F.col("owner").alias("child"), F.col("record").alias("parent")), direct)
+    rest = links.join(orphans.select("src_table", "row_id"), ["src_table", "row_id"], "left_anti")
+    inherited = rest.join(known.withColumnRenamed("id", "record"), "record").select("src_table", "row_id", "seen_at", F.lit("inherited").alias("reason"), (F.col("level") + 1).alias("level"))
+    return orphans.withColumn("level", F.lit(0)).unionByName(inherited)
+
+
+def orphan_report(levels: DataFrame) -> DataFrame:
+    """Orphans per table, month of the reference and reason; ``direct`` tells those that dangle themselves from inherited ones."""
+    return levels.groupBy("src_table", F.date_format("seen_at", "yyyy-MM").alias("month"), "reason", (F.col("level") == 0).alias("direct")).agg(F.count("*").alias("orphans"))
 
 
 def orphan_cascade(links: DataFrame, orphan_ids: DataFrame, max_rounds: int = 64) -> DataFrame:
@@ -129,5 +149,5 @@ def orphan_cascade(links: DataFrame, orphan_ids: DataFrame, max_rounds: int = 64
         frontier = cut(nxt.join(known.select("id"), "id", "left_anti").withColumn("level", F.lit(level)))
         if frontier.isEmpty():
             return known
-        known = cut(known.unionByName(frontier))
+        known = known.unionByName(frontier)  # both are cut already
     raise RuntimeError(f"the cascade did not end within {max_rounds} rounds")

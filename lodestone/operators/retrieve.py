@@ -37,17 +37,17 @@ def expand_with_graph(ranked: DataFrame, chunks: DataFrame, refs: DataFrame, def
     return run.where((F.col("n") <= most) & (F.col("used") <= budget)).select("query_id", "id", F.greatest(F.col("f.score") * fixed.NEIGHBOUR_DECAY, F.lit(fixed.MIN_RELEVANCE)).alias("score"), F.col("f.symbol").alias("via"), "tokens")
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, top: int = 30, budget: int = 100_000, most_variants: int = 3) -> DataFrame:
+def retrieve(queries: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, top: int = 30, budget: int = 100_000, most_variants: int = 3, index: search.LexicalIndex | None = None) -> DataFrame:
     """queries(query_id, query) x chunks(id, file, symbol, text) -> query_id, pos, id, file, score, tokens, used.
 
     ``vectors(id, embedding)`` and ``query_vectors(query_id, embedding)`` add the vector side; a caller with its own
-    hypothetical answers gives their vectors here.
+    hypothetical answers gives their vectors here. ``index`` is an index of the chunks that was opened before; without one it
+    is made for this call.
     """
     a = cut(rules.analyse(queries))  # both are used by several stages
     v = rules.variants(a, most_variants).select((F.col("query_id") * 16 + F.col("variant")).alias("query_id"), "text")
-    p = cut(search.postings(chunks.select("id", "text")))
-    n, mean = chunks.agg(F.count("*")), p.select("id", "dl").distinct().agg(F.avg("dl"))
-    lexical = search.bm25(p, n, mean, v, fixed.CANDIDATE_POOL).withColumn("query_id", F.floor(F.col("query_id") / 16).cast("bigint"))
+    index = index or search.LexicalIndex.of(chunks.select("id", "text"))
+    lexical = index.search(v, fixed.CANDIDATE_POOL).withColumn("query_id", F.floor(F.col("query_id") / 16).cast("bigint"))
     lexical = search.ranked(search.fuse([(lexical, 1.0)]), "query_id", "fused", "id", fixed.CANDIDATE_POOL)
     alpha = a.select("query_id", "alpha", "symbols", "paths")
     parts = lexical.join(alpha, "query_id").select("query_id", "id", ((1 - F.col("alpha")) / (fixed.RRF_K + F.col("rank0"))).alias("part"))

@@ -1,7 +1,9 @@
 """Lexical and vector search, fusion, floors, context packing.
 
-BM25 keeps one posting row per (term, document) and needs two shuffles: one to count, one to score; statistics
-are scalars. Exact vector search multiplies blocks of queries by blocks of rows.
+BM25 counts the terms of a text inside its row; only statistics per term are shuffled, after partial aggregation. A search
+joins the few weighted terms of the queries to the texts' terms, sums up where the text lies and cuts every query's list before
+lists are merged. :class:`LexicalIndex` can be written once and searched many times. Exact vector search multiplies
+blocks of queries by blocks of rows.
 """
 
 from __future__ import annotations
@@ -11,45 +13,90 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as T
+from ..session import cut
+
+
+def term_counts(docs: DataFrame) -> DataFrame:
+    """docs(id, text) -> id, dl (tokens), terms (array of term, tf), counted inside the row; null and empty texts have none."""
+    t = docs.select("id", F.coalesce(F.array_sort(T.search_tokens(F.col("text"))), F.array().cast("array<string>")).alias("_t"))
+    # places where a run of equal tokens begins
+    begins = F.filter(F.sequence(F.lit(0), F.size("_t") - 1), lambda i: F.coalesce(F.get("_t", i) != F.get("_t", i - 1), F.lit(True)))
+    t = t.select("id", "_t", F.size("_t").cast("bigint").alias("dl"), F.when(F.size("_t") > 0, begins).otherwise(F.array().cast("array<int>")).alias("_s"))
+    ends = F.transform("_s", lambda at, i: F.struct(F.get("_t", at).alias("term"), (F.coalesce(F.get("_s", i + 1), F.col("dl").cast("int")) - at).cast("bigint").alias("tf")))
+    return t.select("id", "dl", ends.alias("terms"))
+
+
+def term_stats(counted: DataFrame) -> DataFrame:
+    """(id, dl, terms) -> term, df, total, live: one pass; the row of the empty term counts texts, tokens and texts that have tokens."""
+    own = F.transform("terms", lambda t: F.struct(t["term"].alias("term"), t["tf"].alias("n")))
+    # the outer form: for the inner one a filter on the list's size is inferred, which would work the list out once more per term
+    e = counted.select(F.explode_outer(F.concat(own, F.array(F.struct(F.lit("").alias("term"), F.col("dl").alias("n"))))).alias("t"))
+    return e.groupBy(F.col("t.term").alias("term")).agg(F.count("*").alias("df"), F.sum("t.n").alias("total"), F.count_if(F.col("t.n") > 0).alias("live"))
+
+
+class LexicalIndex:
+    """BM25 over texts: ``postings`` (id, dl, term, tf) and, per term, ``weights`` (term, df, idf)."""
+
+    #: Query terms up to this number are sent to all tasks (some 60 bytes each); beyond it the join is shuffled.
+    MOST_SENT = 400_000
+    #: Query terms up to this number are looked up in a written index by its sorted terms.
+    MOST_LOOKED_UP = 2_000
+
+    def __init__(self, postings: DataFrame, stats: DataFrame, written: bool = False) -> None:
+        self.postings, self.stats, self.written = postings, stats, written
+        row = stats.where("term = ''").first()
+        self.n, self.mean = (row["df"], row["total"] / row["live"] if row["live"] else 1.0) if row else (0, 1.0)
+        raw = F.ln(F.lit(self.n) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
+        terms = stats.where("term <> ''").select("term", "df", raw.alias("raw"))
+        low = (terms.agg(F.avg("raw")).first()[0] or 0.0) * fixed.BM25_EPSILON
+        self.weights = terms.select("term", "df", F.when(F.col("raw") < 0, F.lit(low)).otherwise(F.col("raw")).alias("idf"))
+
+    @classmethod
+    def of(cls, docs: DataFrame) -> LexicalIndex:
+        """Of docs(id, text), one row per id. Texts that are partitioned by id aren't shuffled by a search."""
+        c = term_counts(docs)
+        return cls(c.select("id", "dl", F.explode_outer("terms").alias("t")).select("id", "dl", "t.term", "t.tf").where("term is not null"), cut(term_stats(c)))
+
+    def write(self, folder: str) -> None:
+        """Postings sorted by term, so that a search reads the row groups of its terms only."""
+        self.postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{folder}/postings")
+        self.stats.repartition(1).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/stats")
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> LexicalIndex:
+        return cls(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/stats"), written=True)
+
+    def search(self, queries: DataFrame, most: int, positive: bool = False) -> DataFrame:
+        """queries(query_id, text) -> query_id, id, score, rank0: the ``most`` best; a repeated query token counts each time.
+
+        ``positive`` leaves out scores of 0 and less before the lists are cut.
+        """
+        q = queries.select("query_id", F.explode(T.search_tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
+        w = cut(q.join(self.weights, "term").select("query_id", "term", (F.col("qf") * F.col("idf")).alias("g")))
+        p, n = self.postings, w.count()
+        if self.written and n <= self.MOST_LOOKED_UP:
+            p = p.where(F.col("term").isin([r[0] for r in w.select("term").distinct().collect()]))  # at most MOST_LOOKED_UP
+        hit = p.join(F.broadcast(w) if n <= self.MOST_SENT else w, "term")
+        k1, b = fixed.BM25_K1, fixed.BM25_B
+        gain = F.col("g") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(self.mean)))
+        scored = hit.groupBy("query_id", "id").agg(F.sum(gain).alias("score"))
+        return ranked(scored.where("score > 0") if positive else scored, "query_id", "score", "id", most)
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """docs(id, text) -> id, term, tf, dl (tokens of the document); null and empty texts give none."""
-    t = docs.select("id", T.search_tokens(F.col("text")).alias("ts")).where("size(ts) > 0")
-    return t.select("id", F.size("ts").cast("bigint").alias("dl"), F.explode("ts").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
-
-
-def term_weights(p: DataFrame, n_docs: DataFrame) -> DataFrame:
-    """term, df, idf: ln(N - df + 0.5) - ln(df + 0.5), with negative ones set to epsilon times the mean."""
-    df = p.groupBy("term").agg(F.count("*").alias("df")).withColumn("raw", F.ln(n_docs.scalar() - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
-    mean = df.agg(F.avg("raw"))
-    return df.select("term", "df", F.when(F.col("raw") < 0, mean.scalar() * fixed.BM25_EPSILON).otherwise(F.col("raw")).alias("idf"))
-
-
-def bm25(p: DataFrame, n_docs: DataFrame, mean_length: DataFrame, queries: DataFrame, most: int, positive: bool = False) -> DataFrame:
-    """queries(query_id, text) -> query_id, id, score, rank0: the ``most`` best; a repeated query token counts each time.
+def ranked(df: DataFrame, by: str, score: str, tie: str, most: int | None = None) -> DataFrame:
+    """Adds rank0, from 0; scores are rounded before they are compared, ties go to the smaller id.
 
-    ``positive`` leaves out scores of 0 and less before the lists are cut.
+    With ``most`` every partition cuts its lists to so many rows before they are shuffled.
     """
-    q = queries.select("query_id", F.explode(T.search_tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
-    k1, b = fixed.BM25_K1, fixed.BM25_B
-    w = term_weights(p, n_docs)
-    hit = p.join(q, "term").join(w, "term")
-    gain = F.col("qf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / mean_length.scalar()))
-    scored = hit.groupBy("query_id", "id").agg(F.sum(gain).alias("score"))
-    return ranked(scored, "query_id", "score", "id", most)
-
-
-def ranked(df: DataFrame, by: str, score: str, tie: str, most: int | None = None) -> DataFrame:
-    """Adds rank0, from 0; scores are rounded before they are compared, ties go to the smaller id."""
     w = Window.partitionBy(by).orderBy(F.desc(F.round(score, 9)), tie)
-    out = df.withColumn("rank0", F.row_number().over(w) - 1)
-    return out.where(F.col("rank0") < most) if most else out
+    out = df.withColumn("_r", F.row_number().over(w))
+    out = out.where(F.col("_r") <= most) if most else out
+    return out.withColumn("rank0", F.col("_r") - 1).drop("_r")
 
 
 def fuse(lists: list[tuple[DataFrame, float]], k: int = fixed.RRF_K) -> DataFrame:

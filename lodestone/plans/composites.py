@@ -20,6 +20,7 @@ from ..sources.store import VersionedTable
 from .graphs import TURNS, _any, query_texts, turns
 from .ingest import DOCS, META, docs, meta, numbered
 from .registry import Registry
+from ..sources.tables import table
 from .retrieval import Lexical, queries
 
 R = Registry()
@@ -100,14 +101,14 @@ _EV = "list_sort(list_distinct(list_transform(regexp_extract_all({c}, '" + fixed
 
 @R.add(
     "evidence_choice",
-    f"WITH a AS (SELECT doc_id, {_EV.format(c='text')} AS p, {_EV.format(c='substr(text, 1, length(text) // 2)')} AS q FROM {DOCS} WHERE text IS NOT NULL) SELECT doc_id, list_slice(CASE WHEN len(list_intersect(p, q)) > 0 THEN list_sort(list_intersect(p, q)) WHEN len(p) > 0 THEN p ELSE q END, 1, 30) AS evidence FROM a",
+    f"WITH a AS (SELECT doc_id, {_EV.format(c='text')} AS p, {_EV.format(c="coalesce(title, '')")} AS q FROM (SELECT DISTINCT ON (doc_id) doc_id, text, title FROM documents) WHERE text IS NOT NULL) SELECT doc_id, list_slice(CASE WHEN len(list_intersect(p, q)) > 0 THEN list_sort(list_intersect(p, q)) WHEN len(p) > 0 THEN p ELSE q END, 1, 30) AS evidence FROM a",
 )
 def evidence_choice(spark, d):
-    """Paths of an answer (a document) that its seed (the document's first half) names as well, else whichever side has any."""
+    """Paths of an answer (a document) that its seed (the document's title) names as well, else whichever side has any."""
     def paths(c):
         return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(fixed.EVIDENCE_PATH), F.lit(0)), lambda x: F.translate(x, "\\", "/"))))
 
-    x = docs(spark, d).where("text is not null").select("doc_id", paths(F.col("text")).alias("p"), paths(F.expr("substring(text, 1, length(text) div 2)")).alias("q"))
+    x = table(spark, d, "documents", ["doc_id", "text", "title"]).where("text is not null").dropDuplicates(["doc_id"]).select("doc_id", paths(F.col("text")).alias("p"), paths(F.coalesce("title", F.lit(""))).alias("q"))
     both = F.array_sort(F.array_intersect("p", "q"))
     return x.select("doc_id", F.slice(F.when(F.size(both) > 0, both).when(F.size("p") > 0, F.col("p")).otherwise(F.col("q")), 1, 30).alias("evidence"))
 
@@ -142,14 +143,8 @@ def _sections(x, text):
     return x.select("query_id", F.when(how, lists[0]).when(debug, lists[1]).otherwise(lists[2]).alias("sections"))
 
 
-@R.add("seed_sections", f"WITH q AS (SELECT doc_id AS query_id, lower(substr(coalesce(text, ''), 1, 60)) AS l FROM {DOCS}) SELECT query_id, CASE WHEN {_any('l', fixed.HOW_PHRASES)} THEN ['map', 'retrieval'] WHEN {_any('l', fixed.DEBUG_PHRASES)} THEN ['map', 'retrieval', 'changes'] ELSE ['retrieval'] END AS sections FROM q")
+@R.add("seed_sections", f"WITH q AS (SELECT doc_id AS query_id, lower(coalesce(text, '')) AS l FROM {DOCS}) SELECT query_id, CASE WHEN {_any('l', fixed.HOW_PHRASES)} THEN ['map', 'retrieval'] WHEN {_any('l', fixed.DEBUG_PHRASES)} THEN ['map', 'retrieval', 'changes'] ELSE ['retrieval'] END AS sections FROM q")
 def seed_sections(spark, d):
-    """Sections of a prompt by what its first words (60 characters) ask for."""
-    return _sections(docs(spark, d), F.substring(F.coalesce("text", F.lit("")), 1, 60))
-
-
-@R.add("seed_sections_all", f"WITH q AS (SELECT doc_id AS query_id, lower(coalesce(text, '')) AS l FROM {DOCS}) SELECT query_id, CASE WHEN {_any('l', fixed.HOW_PHRASES)} THEN ['map', 'retrieval'] WHEN {_any('l', fixed.DEBUG_PHRASES)} THEN ['map', 'retrieval', 'changes'] ELSE ['retrieval'] END AS sections FROM q")
-def seed_sections_all(spark, d):
     """Sections of a prompt by what its whole text asks for."""
     return _sections(docs(spark, d), F.coalesce("text", F.lit("")))
 

@@ -61,22 +61,17 @@ def resolve_placeholders(spark, d):
 
 
 _HOPS = f"""WITH RECURSIVE e AS (SELECT src_id AS s, dst_id AS t, max(weight) AS w FROM {EDGES} WHERE src_id IS NOT NULL AND dst_id IS NOT NULL AND kind IN ('CALLS', 'IMPORTS', 'DEFINES') GROUP BY ALL),
-seed AS (SELECT DISTINCT id FROM {NODES} WHERE kind = 'File' AND file LIKE '%/src/a%'),
+seed AS (SELECT DISTINCT id FROM {NODES} WHERE kind = 'File'),
 h1 AS (SELECT seed.id AS seed, e.t AS id, max(e.w) AS weight FROM seed JOIN e ON e.s = seed.id WHERE e.t <> seed.id GROUP BY ALL),
 h2 AS (SELECT h1.seed, e.t AS id, max(h1.weight + e.w) AS weight FROM h1 JOIN e ON e.s = h1.id WHERE e.t <> h1.seed AND NOT EXISTS (SELECT 1 FROM h1 x WHERE x.seed = h1.seed AND x.id = e.t) GROUP BY ALL)"""
 
 
-# The same from every File node. The queries without "_all" start from the files under src/a only, as their SQL does.
-_ALL_HOPS = _HOPS.replace(" AND file LIKE '%/src/a%'", "")
-
-
-def hops(spark, d, n, files=None):
-    """Walks from the File nodes; ``files`` is a pattern of those to start from.
+def hops(spark, d, n):
+    """Walks from every File node.
 
     Repeated rows need no pass of their own: the seeds are made distinct, and of an edge's rows the largest weight counts.
     """
-    s = table(spark, d, "nodes", ["id", "kind", "file"]).where("kind = 'File'")
-    s = s if files is None else s.where(F.col("file").like(files))
+    s = table(spark, d, "nodes", ["id", "kind"]).where("kind = 'File'")
     s = s.select(F.col("id").alias("seed"), "id").distinct()
     e = table(spark, d, "edges", ["src_id", "dst_id", "kind", "weight"])
     return G.multi_hop(e, s, n, ["CALLS", "IMPORTS", "DEFINES"])
@@ -84,21 +79,11 @@ def hops(spark, d, n, files=None):
 
 @R.add("multi_hop_1", _HOPS + " SELECT seed, id, 1 AS hop, round(weight, 6) AS weight FROM h1")
 def multi_hop_1(spark, d):
-    return hops(spark, d, 1, "%/src/a%").withColumn("weight", F.round("weight", 6))
+    return hops(spark, d, 1).withColumn("weight", F.round("weight", 6))
 
 
 @R.add("multi_hop_2", _HOPS + " SELECT seed, id, 1 AS hop, round(weight, 6) AS weight FROM h1 UNION ALL SELECT seed, id, 2, round(weight, 6) FROM h2")
 def multi_hop_2(spark, d):
-    return hops(spark, d, 2, "%/src/a%").withColumn("weight", F.round("weight", 6))
-
-
-@R.add("multi_hop_1_all", _ALL_HOPS + " SELECT seed, id, 1 AS hop, round(weight, 6) AS weight FROM h1")
-def multi_hop_1_all(spark, d):
-    return hops(spark, d, 1).withColumn("weight", F.round("weight", 6))
-
-
-@R.add("multi_hop_2_all", _ALL_HOPS + " SELECT seed, id, 1 AS hop, round(weight, 6) AS weight FROM h1 UNION ALL SELECT seed, id, 2, round(weight, 6) FROM h2")
-def multi_hop_2_all(spark, d):
     return hops(spark, d, 2).withColumn("weight", F.round("weight", 6))
 
 

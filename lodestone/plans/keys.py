@@ -45,28 +45,48 @@ def p5_found(spark, d):
     return _all(spark, d).select("src_table", "row_id", "reason")
 
 
-@R.add("p5_report", _ORPHANS + "SELECT src_table, strftime(seen_at, '%Y-%m') AS month, reason, count(*)::BIGINT AS orphans FROM o GROUP BY ALL")
-def p5_report(spark, d):
-    return orphans.orphan_report(_all(spark, d))
+_CLEAN = r"regexp_replace({c}, '^\s+|\s+$', '', 'g')"
+_CASCADE = (
+    _ORPHANS.replace("WITH r AS", "WITH RECURSIVE r AS")
+    + f""", one AS (SELECT 'sym:?::' || name AS alias_id, min(id) AS full_id FROM nodes WHERE kind = 'Symbol' AND name IS NOT NULL GROUP BY name HAVING min(id) = max(id)),
+l0 AS (SELECT DISTINCT 'edges' AS src_table, edge_id AS row_id, seen_at, replace({_CLEAN.format(c='src_id')}, chr(92), '/') AS owner, replace({_CLEAN.format(c='dst_id')}, chr(92), '/') AS record FROM edges
+  UNION SELECT DISTINCT 'refs', ref_id, seen_at, 'file:' || file, 'sym:?::' || {_CLEAN.format(c='symbol')} FROM refs
+  UNION SELECT DISTINCT 'imports', import_id, seen_at, 'file:' || file, 'module:' || {_CLEAN.format(c='target')} FROM imports),
+l AS (SELECT l0.src_table, l0.row_id, l0.seen_at, l0.owner, coalesce(one.full_id, l0.record) AS record FROM l0 LEFT JOIN one ON l0.record = one.alias_id),
+d AS (SELECT DISTINCT l.owner AS id FROM l JOIN o ON l.src_table = o.src_table AND l.row_id = o.row_id WHERE l.owner IS NOT NULL),
+c(id) AS (SELECT id FROM d UNION SELECT l.owner FROM l JOIN c ON l.record = c.id WHERE l.owner IS NOT NULL)
+"""
+)
+
+
+def _levels(spark, d):
+    links = orphans.record_links(
+        table(spark, d, "edges", ["edge_id", "src_id", "dst_id", "seen_at"]),
+        table(spark, d, "refs", ["ref_id", "symbol", "file", "seen_at"]),
+        table(spark, d, "imports", ["import_id", "file", "target", "seen_at"]),
+        table(spark, d, "nodes", ["id", "kind", "name"]),
+    )
+    return links, orphans.orphan_levels(links, _all(spark, d))
 
 
 @R.add(
-    "p5_cascade",
-    _ORPHANS.replace("WITH r AS", "WITH RECURSIVE r AS")
-    + r""", l AS (SELECT DISTINCT replace(regexp_replace(src_id, '^\s+|\s+$', '', 'g'), '\', '/') AS child, replace(regexp_replace(dst_id, '^\s+|\s+$', '', 'g'), '\', '/') AS parent
-            FROM edges WHERE src_id IS NOT NULL AND dst_id IS NOT NULL),
-c(id, level) AS (
-  SELECT DISTINCT replace(regexp_replace(e.src_id, '^\s+|\s+$', '', 'g'), '\', '/'), 0 FROM o JOIN edges e ON o.src_table = 'edges' AND o.row_id = e.edge_id WHERE e.src_id IS NOT NULL
-  UNION SELECT l.child, c.level + 1 FROM l JOIN c ON l.parent = c.id WHERE c.level < 12)
-SELECT id, min(level)::INT AS level FROM c GROUP BY id""",
+    "p5_report",
+    _CASCADE
+    + """SELECT src_table, strftime(seen_at, '%Y-%m') AS month, reason, direct, count(*)::BIGINT AS orphans FROM (
+  SELECT src_table, seen_at, reason, true AS direct FROM o UNION ALL
+  SELECT l.src_table, l.seen_at, 'inherited', false FROM l JOIN c ON l.record = c.id LEFT JOIN o ON l.src_table = o.src_table AND l.row_id = o.row_id WHERE o.row_id IS NULL) GROUP BY ALL""",
 )
+def p5_report(spark, d):
+    """Direct and inherited orphans per table and month."""
+    return orphans.orphan_report(_levels(spark, d)[1])
+
+
+@R.add("p5_cascade", _CASCADE + "SELECT c.id, d.id IS NOT NULL AS direct FROM c LEFT JOIN d ON c.id = d.id")
 def p5_cascade(spark, d):
-    """Ids whose own reference dangles (level 0) and ids that refer to such ids, directly or through others."""
-    e = table(spark, d, "edges", ["edge_id", "src_id", "dst_id", "seen_at"])
-    found = orphans.find_orphans(orphans.edge_references(e), orphans.node_targets(table(spark, d, "nodes", ["id", "kind", "name", "created_at", "removed_at"])))
-    ids = e.join(found.select(F.col("row_id").alias("edge_id")), "edge_id", "left_semi").select(orphans.clean_edge_id(F.col("src_id")).alias("id"))
-    links = e.select(orphans.clean_edge_id(F.col("src_id")).alias("child"), orphans.clean_edge_id(F.col("dst_id")).alias("parent"))
-    return orphans.orphan_cascade(links, ids)
+    """Records that hold a dangling reference, and those that are orphaned because they refer to such records, directly or through others."""
+    links, levels = _levels(spark, d)
+    owners = links.join(levels.select("src_table", "row_id", "level"), ["src_table", "row_id"]).where("owner is not null")
+    return owners.groupBy(F.col("owner").alias("id")).agg(F.min("level").alias("level")).select("id", (F.col("level") == 0).alias("direct"))
 
 
 _TREE = r"""

@@ -8,7 +8,6 @@ from ..functions import fixed
 from ..functions import text as T
 from ..operators import ingest, rules
 from ..operators import search as S
-from ..session import cut
 from ..sources.tables import table
 from .ingest import DOCS, META, chunks, docs, meta
 from .registry import Registry
@@ -21,14 +20,12 @@ def tok_sql(c: str) -> str:
     return f"list_transform(regexp_extract_all(regexp_replace({c}, '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '[A-Z]?[a-z]+|[A-Z]+|[0-9]+'), lambda x: lower(x))"
 
 
-_QTEXT = "array_to_string(list_slice(string_split(text, ' '), 12, 30), ' ')"
-QUERIES = f"(SELECT item_id AS query_id, {_QTEXT} AS text FROM (SELECT DISTINCT ON (item_id) item_id, text FROM benchmark))"
+QUERIES = "(SELECT DISTINCT ON (item_id) item_id AS query_id, text FROM benchmark)"
 
 
 def queries(spark, d):
-    """One query per benchmark item: its words 12 to 30."""
-    b = table(spark, d, "benchmark", ["item_id", "text"]).dropDuplicates(["item_id"])
-    return b.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 12, 19), " ").alias("text"))
+    """One query per benchmark item: its whole text."""
+    return table(spark, d, "benchmark", ["item_id", "text"]).dropDuplicates(["item_id"]).withColumnRenamed("item_id", "query_id")
 
 
 _BM = f"""toks AS (SELECT doc_id AS id, {tok_sql('text')} AS ts FROM {DOCS} WHERE text IS NOT NULL), tk AS (SELECT * FROM toks WHERE len(ts) > 0),
@@ -46,17 +43,9 @@ sc AS (SELECT query_id, id, sum(qf * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.
 _RANK = "row_number() OVER (PARTITION BY query_id ORDER BY round({s}, 9) DESC, id) - 1"
 
 
-class Lexical:
-    """Postings and statistics of the documents, shared by the queries of one plan."""
-
-    def __init__(self, spark, d) -> None:
-        x = docs(spark, d).select(F.col("doc_id").alias("id"), "text")
-        self.postings = cut(S.postings(x))
-        self.n = x.agg(F.count("*"))
-        self.mean = self.postings.select("id", "dl").distinct().agg(F.avg("dl"))
-
-    def search(self, q, most, positive=False):
-        return S.bm25(self.postings, self.n, self.mean, q, most, positive)
+def Lexical(spark, d) -> S.LexicalIndex:
+    """The index of the documents, which are partitioned by their id."""
+    return S.LexicalIndex.of(docs(spark, d).select(F.col("doc_id").alias("id"), "text"))
 
 
 @R.add("tokenize_freq", f"SELECT term, count(*)::BIGINT AS n, count(DISTINCT id)::BIGINT AS documents FROM (SELECT doc_id AS id, unnest({tok_sql('text')}) AS term FROM {DOCS}) GROUP BY term")
@@ -67,8 +56,7 @@ def tokenize_freq(spark, d):
 
 @R.add("bm25_corpus_stats", f"WITH {_BM} SELECT term, df::BIGINT AS df, round(idf, 6) AS idf FROM w")
 def bm25_corpus_stats(spark, d):
-    x = Lexical(spark, d)
-    return S.term_weights(x.postings, x.n).select("term", "df", F.round("idf", 6).alias("idf"))
+    return Lexical(spark, d).weights.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @R.add("bm25_topk", f"WITH {_BM}, {_scores(QUERIES)} SELECT query_id, id, round(score, 6) AS score, rank0::INT AS rank0 FROM (SELECT *, {_RANK.format(s='score')} AS rank0 FROM sc) WHERE rank0 < 60")
@@ -113,16 +101,16 @@ def vector_norms(spark, d):
     return vectors(spark, d).select("id", F.round(F.sqrt(T.dot(e, e)), 5).alias("norm"), F.round(F.element_at(T.unit(e), 1), 5).alias("first_unit"))
 
 
-# For hybrid lists, a query is a document whose id is divisible by 20: its first words and its vector.
-_HQ = f"(SELECT doc_id AS query_id, array_to_string(list_slice(string_split(text, ' '), 1, 12), ' ') AS text FROM {DOCS} WHERE doc_id % 20 = 0 AND text IS NOT NULL AND doc_id IN (SELECT vec_id FROM embeddings))"
+# For hybrid lists, a query is a document whose id is divisible by 20: its title and its vector.
+_HQ = "(SELECT DISTINCT ON (doc_id) doc_id AS query_id, title AS text FROM documents WHERE doc_id % 20 = 0 AND title IS NOT NULL AND doc_id IN (SELECT vec_id FROM embeddings))"
 _LEX = f"{_BM}, {_scores(_HQ)}, lr AS (SELECT *, {_RANK.format(s='score')} AS rank0 FROM sc WHERE score > 0), lex AS (SELECT * FROM lr WHERE rank0 < 60)"
 _FUSED = f"{_LEX}, {_VEC}, fu AS (SELECT query_id, id, sum(p) AS fused FROM (SELECT query_id, id, 0.5 / (60 + rank0) AS p FROM vec UNION ALL SELECT query_id, id, 0.5 / (60 + rank0) FROM lex) GROUP BY ALL)"
 
 
 def hybrid_queries(spark, d):
     v = table(spark, d, "embeddings", ["vec_id"]).select(F.col("vec_id").alias("doc_id")).distinct()
-    x = docs(spark, d).where("doc_id % 20 = 0 and text is not null").join(v, "doc_id", "left_semi")
-    return x.select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 12), " ").alias("text"))
+    x = table(spark, d, "documents", ["doc_id", "title"]).where("doc_id % 20 = 0 and title is not null").dropDuplicates(["doc_id"]).join(v, "doc_id", "left_semi")
+    return x.select(F.col("doc_id").alias("query_id"), F.col("title").alias("text"))
 
 
 def lexical_lists(spark, d):
@@ -270,11 +258,11 @@ def token_budget_prefix(spark, d):
 
 @R.add("block_emission")
 def block_emission(spark, d):
-    """Context blocks under a budget: whole files first, then merged ranges, with mixed stop rules."""
-    h = Lexical(spark, d).search(queries(spark, d), fixed.CANDIDATE_POOL)
-    c = ingest.window_chunks(docs(spark, d).select("doc_id", "text")).select(F.col("doc_id").alias("id"), "chunk", "start_line", "end_line").where("chunk <= 1")
-    f = docs(spark, d).select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("file"), F.length("text").alias("file_chars"), F.size(T.lines(F.col("text"))).alias("last_line"), T.estimated_tokens(F.col("text")).alias("file_tokens"))
-    j = h.join(c, "id").join(f, "id").select("query_id", (F.col("rank0") * 2 + F.col("chunk")).alias("rank0"), "file", "file_chars", "start_line", "end_line", "last_line", "file_tokens")
+    """Context blocks of the windows found, under a budget: whole files first, then merged ranges, with mixed stop rules."""
+    c = ingest.window_chunks(docs(spark, d).select("doc_id", "text")).select(F.xxhash64("doc_id", "chunk").alias("id"), "doc_id", "start_line", "end_line", "text")
+    h = S.LexicalIndex.of(c.select("id", "text")).search(queries(spark, d), fixed.CANDIDATE_POOL)
+    f = docs(spark, d).select("doc_id", F.col("doc_id").cast("string").alias("file"), F.length("text").alias("file_chars"), F.size(T.lines(F.col("text"))).alias("last_line"), T.estimated_tokens(F.col("text")).alias("file_tokens"))
+    j = h.join(c.drop("text"), "id").join(f, "doc_id").select("query_id", "rank0", "file", "file_chars", "start_line", "end_line", "last_line", "file_tokens")
     return S.emit_blocks(j, 6000, 30)
 
 

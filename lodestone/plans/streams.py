@@ -121,21 +121,16 @@ def stream_upsert(spark, d):
 
 # Evaluation: a benchmark item is a case; the documents whose id agrees with it modulo 240 are to be cited, the BM25 list is what was cited.
 _CASES = f"""WITH {_BM}, {_scores(QUERIES)}, ci AS (SELECT * FROM (SELECT query_id AS case_id, id, {_RANK.format(s='score')} AS rank0 FROM sc) WHERE rank0 < 60),
-go AS (SELECT item_id AS case_id, doc_id AS id FROM (SELECT DISTINCT item_id FROM benchmark) b JOIN (SELECT DISTINCT doc_id FROM documents) d ON d.doc_id % 240 = b.item_id % 240 AND d.doc_id < 960),
+go AS (SELECT item_id AS case_id, doc_id AS id FROM (SELECT DISTINCT item_id FROM benchmark) b JOIN (SELECT DISTINCT doc_id FROM documents) d ON d.doc_id % 240 = b.item_id % 240),
 rs AS (SELECT go.case_id, count(*) AS wanted, count(ci.id) AS found, min(ci.rank0) AS first FROM go LEFT JOIN ci ON go.case_id = ci.case_id AND go.id = ci.id GROUP BY go.case_id),
 ms AS (SELECT case_id, found / wanted AS recall, coalesce(1.0 / (first + 1), 0.0) AS rr, found > 0 AS passed, case_id % 37 + (case_id % 10) / 10.0 AS latency FROM rs)"""
 
 
-# The same over all documents. The queries without "_all" take the documents below 960 only, as their SQL does.
-_ALL_CASES = _CASES.replace(" AND d.doc_id < 960", "")
-
-
-def cases(spark, d, below=None):
-    """Metrics per case; ``below`` leaves out the documents from that id on."""
+def cases(spark, d):
+    """Metrics per case; every document is wanted by the case that agrees with its id."""
     cited = Lexical(spark, d).search(queries(spark, d), fixed.CANDIDATE_POOL).select(F.col("query_id").alias("case_id"), "id", "rank0")
     b = table(spark, d, "benchmark", ["item_id"]).distinct().select(F.col("item_id").alias("case_id"), (F.col("item_id") % 240).alias("k"))
     g = table(spark, d, "documents", ["doc_id"]).distinct().select(F.col("doc_id").alias("id"), (F.col("doc_id") % 240).alias("k"))
-    g = g if below is None else g.where(F.col("id") < below)
     return E.case_metrics(b.join(g, "k").select("case_id", "id"), cited).withColumn("latency", F.col("case_id") % 37 + (F.col("case_id") % 10) / 10)
 
 
@@ -145,21 +140,11 @@ def _recall_mrr(c):
 
 @R.add("eval_recall_mrr", _CASES + " SELECT case_id, round(recall, 6) AS recall, round(rr, 6) AS rr, passed FROM ms")
 def eval_recall_mrr(spark, d):
-    return _recall_mrr(cases(spark, d, 960))
-
-
-@R.add("eval_recall_mrr_all", _ALL_CASES + " SELECT case_id, round(recall, 6) AS recall, round(rr, 6) AS rr, passed FROM ms")
-def eval_recall_mrr_all(spark, d):
     return _recall_mrr(cases(spark, d))
 
 
 @R.add("eval_summary", _CASES + " SELECT count(*)::BIGINT AS n, count(*) FILTER (passed)::BIGINT AS passed, round(avg(recall), 3) AS recall, round(avg(rr), 3) AS mrr, round(quantile_cont(latency, 0.5), 3) AS p50, round(quantile_cont(latency, 0.95), 3) AS p95 FROM ms")
 def eval_summary(spark, d):
-    return E.summary(cases(spark, d, 960))
-
-
-@R.add("eval_summary_all", _ALL_CASES + " SELECT count(*)::BIGINT AS n, count(*) FILTER (passed)::BIGINT AS passed, round(avg(recall), 3) AS recall, round(avg(rr), 3) AS mrr, round(quantile_cont(latency, 0.5), 3) AS p50, round(quantile_cont(latency, 0.95), 3) AS p95 FROM ms")
-def eval_summary_all(spark, d):
     return E.summary(cases(spark, d))
 
 
@@ -172,11 +157,6 @@ def _regressions(c):
 @R.add("eval_regressions", _CASES + ", pr AS (SELECT case_id, case_id % 2 = 0 AS passed, 0.5 AS recall FROM ms) SELECT ms.case_id, round(ms.recall - pr.recall, 6) AS recall_change FROM ms JOIN pr USING (case_id) WHERE pr.passed AND NOT ms.passed")
 def eval_regressions(spark, d):
     """Against a former run, in which the even cases passed."""
-    return _regressions(cases(spark, d, 960))
-
-
-@R.add("eval_regressions_all", _ALL_CASES + ", pr AS (SELECT case_id, case_id % 2 = 0 AS passed, 0.5 AS recall FROM ms) SELECT ms.case_id, round(ms.recall - pr.recall, 6) AS recall_change FROM ms JOIN pr USING (case_id) WHERE pr.passed AND NOT ms.passed")
-def eval_regressions_all(spark, d):
     return _regressions(cases(spark, d))
 
 

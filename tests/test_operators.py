@@ -107,9 +107,41 @@ def test_nearest_in_many_blocks(spark):
 
 def test_bm25_of_empty_tables(spark):
     docs = spark.createDataFrame([], "id bigint, text string")
-    p = search.postings(docs)
     q = spark.createDataFrame([(1, "word")], "query_id bigint, text string")
-    assert search.bm25(p, docs.agg(F.count("*")), p.agg(F.avg("dl")), q, 5).count() == 0
+    assert search.LexicalIndex.of(docs).search(q, 5).count() == 0
+
+
+def _bm25(texts, query, k1=1.5, b=0.75):
+    """Scores by the formula, one text at a time."""
+    import math
+    from collections import Counter
+
+    toks = {i: t.split() for i, t in texts.items() if t}
+    mean = sum(map(len, toks.values())) / len(toks)
+    df = Counter(w for t in toks.values() for w in set(t))
+    raw = {w: math.log(len(texts) - n + 0.5) - math.log(n + 0.5) for w, n in df.items()}
+    low = 0.25 * sum(raw.values()) / len(raw)
+    out = {}
+    for i, t in toks.items():
+        tf = Counter(t)
+        s = [(low if raw[w] < 0 else raw[w]) * tf[w] * (k1 + 1) / (tf[w] + k1 * (1 - b + b * len(t) / mean)) for w in query.split() if w in tf]
+        if s:
+            out[i] = round(sum(s), 6)
+    return out
+
+
+def test_bm25_against_the_formula_and_through_a_written_index(spark, tmp_path):
+    texts = {1: "alpha beta beta gamma", 2: "beta gamma", 3: "alpha alpha alpha delta", 4: "", 5: None, 6: "beta", 7: "omega " * 300 + "delta"}
+    docs = spark.createDataFrame(list(texts.items()), "id bigint, text string")
+    q = spark.createDataFrame([(1, "alpha beta beta"), (2, "delta nothing"), (3, ""), (4, None)], "query_id bigint, text string")
+    index = search.LexicalIndex.of(docs)
+    index.write(str(tmp_path / "ix"))
+    for x in (index, search.LexicalIndex.open(spark, str(tmp_path / "ix"))):
+        got = {(r.query_id, r.id): round(r.score, 6) for r in x.search(q, 10).collect()}
+        assert got == {(1, i): s for i, s in _bm25(texts, "alpha beta beta").items()} | {(2, i): s for i, s in _bm25(texts, "delta nothing").items()}
+    assert [r.id for r in index.search(q, 1).where("query_id = 2").collect()] == [3]
+    index.MOST_SENT = 0  # the shuffled join
+    assert index.search(q, 10).count() == len(got)
 
 
 def test_covering_chunk_falls_back_to_the_nearest(spark):

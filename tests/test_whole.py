@@ -24,14 +24,14 @@ def test_hops_start_from_every_file(spark, tmp_path):
     e = [(1, "file:r/src/a.py", "sym:x", "DEFINES", 1, 1.0), (2, "file:r/lib/b.py", "sym:x", "DEFINES", 1, 2.0), (3, "sym:x", "sym:y", "CALLS", 1, 0.5)]
     spark.createDataFrame(e, "edge_id bigint, src_id string, dst_id string, kind string, line int, weight double").write.parquet(f"{root}/edges.parquet")
     one = {("file:r/src/a.py", "sym:x", 1, 1.0), ("file:r/lib/b.py", "sym:x", 1, 2.0)}
-    assert {tuple(r) for r in graphs.multi_hop_1_all(spark, root).collect()} == one
-    assert {tuple(r) for r in graphs.multi_hop_2_all(spark, root).collect()} == one | {("file:r/src/a.py", "sym:y", 2, 1.5), ("file:r/lib/b.py", "sym:y", 2, 2.5)}
+    assert {tuple(r) for r in graphs.multi_hop_1(spark, root).collect()} == one
+    assert {tuple(r) for r in graphs.multi_hop_2(spark, root).collect()} == one | {("file:r/src/a.py", "sym:y", 2, 1.5), ("file:r/lib/b.py", "sym:y", 2, 2.5)}
 
 
 def test_sections_by_the_whole_text(spark, tmp_path):
     rows = [(i, t, "en", "s", 1, "t", None) for i, t in ((1, "x" * 60 + " How does it work"), (2, "plain"), (3, None))]
     spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, title string, created_at timestamp_ntz").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.query_id: r.sections for r in composites.seed_sections_all(spark, str(tmp_path)).collect()}
+    got = {r.query_id: r.sections for r in composites.seed_sections(spark, str(tmp_path)).collect()}
     assert got == {1: ["map", "retrieval"], 2: ["retrieval"], 3: ["retrieval"]}
 
 
