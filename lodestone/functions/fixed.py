@@ -31,6 +31,10 @@ TEST_NAME = r"^(test_|test[A-Z]|it_should_|describe_|spec_)|_test$"
 DECLARATION = r"^(def\s+\w+|async\s+def\s+\w+|class\s+\w+|function\s+\w+|interface\s+\w+|type\s+\w+|export\s+(default\s+)?(async\s+)?function|fn\s+\w+|struct\s+\w+|trait\s+\w+|enum\s+\w+|@\w+)"
 STATEMENT = r"\b(return|if|for|while|try|throw|raise|yield|await|console\.|print\(|self\.|this\.)\b"
 
+# Languages that are read by the patterns of another one
+DEFINITION_FAMILY = {"javascript": "typescript", "tsx": "typescript", "jsx": "typescript", "csharp": "java", "kotlin": "java", "c": "cpp"}
+IMPORT_FAMILY = {"javascript": "typescript", "tsx": "typescript", "jsx": "typescript", "c": "cpp"}
+INHERIT_FAMILY = {"javascript": "typescript", "tsx": "typescript"}
 # One definition per line and language: (language, kind, pattern); group 1 is the name
 DEFINITIONS = [
     ("python", "function", r"^\s*(?:async\s+)?def\s+([A-Za-z_][A-Za-z0-9_]*)\s*\("),
@@ -40,6 +44,7 @@ DEFINITIONS = [
     ("typescript", "interface", r"^\s*(?:export\s+)?interface\s+([A-Za-z_$][A-Za-z0-9_$]*)"),
     ("typescript", "type", r"^\s*(?:export\s+)?type\s+([A-Za-z_$][A-Za-z0-9_$]*)"),
     ("typescript", "enum", r"^\s*(?:export\s+)?enum\s+([A-Za-z_$][A-Za-z0-9_$]*)"),
+    ("typescript", "const", r"^\s*(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][A-Za-z0-9_$]*)\s*=\s*(?:async\s*)?(?:\(|function)"),
     ("go", "function", r"^\s*func\s+(?:\([^)]*\)\s*)?([A-Za-z_][A-Za-z0-9_]*)"),
     ("go", "type", r"^\s*type\s+([A-Za-z_][A-Za-z0-9_]*)\s+(?:struct|interface)"),
     ("rust", "function", r"^\s*(?:pub(?:\s*\([^)]*\))?\s+)?(?:async\s+)?fn\s+([A-Za-z_][A-Za-z0-9_]*)"),
@@ -48,6 +53,8 @@ DEFINITIONS = [
     ("rust", "trait", r"^\s*(?:pub(?:\s*\([^)]*\))?\s+)?trait\s+([A-Za-z_][A-Za-z0-9_]*)"),
     ("java", "class", r"^\s*(?:public|private|protected)?\s*(?:abstract\s+)?class\s+([A-Za-z_][A-Za-z0-9_]*)"),
     ("java", "interface", r"^\s*(?:public|private|protected)?\s*interface\s+([A-Za-z_][A-Za-z0-9_]*)"),
+    ("cpp", "function", r"^\s*(?:[\w:<>*&]+\s+)+([A-Za-z_][A-Za-z0-9_]*)\s*\([^)]*\)\s*\{"),
+    ("cpp", "class", r"^\s*(?:class|struct)\s+([A-Za-z_][A-Za-z0-9_]*)"),
 ]
 IMPORTS = [
     ("python", r"^\s*(?:from\s+([\w.]+)\s+import|import\s+([\w.,\s]+))"),
@@ -55,7 +62,12 @@ IMPORTS = [
     ("go", r"^\s*import\s+\"([^\"]+)\"()"),
     ("rust", r"^\s*use\s+([\w:]+)()"),
     ("java", r"^\s*import\s+([\w.]+);()"),
+    ("csharp", r"^\s*using\s+([\w.]+);()"),
+    ("kotlin", r"^\s*import\s+([\w.]+)()"),
+    ("cpp", r"^\s*#\s*include\s+[<\"]([^>\"]+)[>\"]()"),
 ]
+# A list of imports in parentheses: what opens it, what closes it, and the modules on its lines
+GROUP_OPENS, GROUP_CLOSES, GROUP_MEMBER = r"\bimport\s+\(", r"\)", r"\"([^\"]+)\""
 INHERITS = [
     ("python", r"^\s*class\s+([A-Za-z_][A-Za-z0-9_]*)\s*\(([^)]+)\)"),
     ("typescript", r"^\s*(?:export\s+(?:default\s+)?)?(?:abstract\s+)?class\s+([A-Za-z_$][A-Za-z0-9_$]*)\s+extends\s+([A-Za-z_$][A-Za-z0-9_$]*)"),

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -80,27 +80,43 @@ def file_lines(files: DataFrame) -> DataFrame:
     return files.select("file", "language", F.posexplode(T.lines(F.col("text"))).alias("_i", "line_text")).select("file", "language", (F.col("_i") + 1).alias("line"), "line_text")
 
 
+def _family(families: dict[str, str]) -> Column:
+    return F.coalesce(*[F.when(F.col("language") == k, v) for k, v in families.items()], F.col("language"))
+
+
 def definitions(numbered: DataFrame) -> DataFrame:
-    """(file, language, line, line_text) -> symbol, kind per declaring line; javascript reads like typescript."""
-    lang = F.when(F.col("language") == "javascript", "typescript").otherwise(F.col("language"))
-    hits = [F.when((lang == la) & (F.regexp_extract("line_text", p, 1) != ""), F.struct(F.regexp_extract("line_text", p, 1).alias("symbol"), F.lit(k).alias("kind"))) for la, k, p in fixed.DEFINITIONS]
-    return numbered.withColumn("_h", F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull()))).select("file", "language", "line", "_h.symbol", "_h.kind")
+    """(file, language, line, line_text) -> symbol, kind per declaring line; related languages are read alike."""
+    x = numbered.withColumn("_f", _family(fixed.DEFINITION_FAMILY))
+    hits = [F.when((F.col("_f") == la) & (F.regexp_extract("line_text", p, 1) != ""), F.struct(F.regexp_extract("line_text", p, 1).alias("symbol"), F.lit(k).alias("kind"))) for la, k, p in fixed.DEFINITIONS]
+    return x.withColumn("_h", F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull()))).select("file", "language", "line", "_h.symbol", "_h.kind")
+
+
+def _grouped_imports(numbered: DataFrame) -> DataFrame:
+    """The modules of Go's import lists: lines between ``import (`` and the parenthesis that closes it."""
+    g = numbered.where("language = 'go'").withColumn("_open", F.col("line_text").rlike(fixed.GROUP_OPENS))
+    w = Window.partitionBy("file").orderBy("line", "line_text").rowsBetween(Window.unboundedPreceding, 0)  # the lines of one file
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    opened = F.max(F.when(F.col("_open"), F.col("line"))).over(w)
+    closed = F.max(F.when(F.col("line_text").rlike(fixed.GROUP_CLOSES), F.col("line"))).over(before)
+    inside = g.withColumn("_o", opened).withColumn("_c", closed).where("_o is not null and (_c is null or _c < _o)")
+    return inside.select("file", "language", "line", F.explode(F.regexp_extract_all("line_text", F.lit(fixed.GROUP_MEMBER), F.lit(1))).alias("target"))
 
 
 def imports(numbered: DataFrame) -> DataFrame:
     """One row per imported module; lists of modules are taken apart, aliases dropped."""
-    lang = F.when(F.col("language") == "javascript", "typescript").otherwise(F.col("language"))
-    raw = F.coalesce(*[F.when(lang == la, F.concat(F.regexp_extract("line_text", p, 1), F.regexp_extract("line_text", p, 2))) for la, p in fixed.IMPORTS])
-    one = numbered.withColumn("_r", raw).where("_r <> ''").withColumn("target", F.explode(F.split("_r", ",")))
-    return one.withColumn("target", F.regexp_replace(F.trim("target"), r"\s+as\s+.*$", "")).where("target <> ''").select("file", "language", "line", "target")
+    x = numbered.withColumn("_f", _family(fixed.IMPORT_FAMILY))
+    raw = F.coalesce(*[F.when(F.col("_f") == la, F.concat(F.regexp_extract("line_text", p, 1), F.regexp_extract("line_text", p, 2))) for la, p in fixed.IMPORTS])
+    one = x.withColumn("_r", raw).where("_r <> ''").withColumn("target", F.explode(F.split("_r", ",")))
+    one = one.withColumn("target", F.regexp_replace(F.trim("target"), r"\s+as\s+.*$", "")).where("target <> ''").select("file", "language", "line", "target")
+    return one.unionByName(_grouped_imports(numbered))
 
 
 def inheritance(numbered: DataFrame) -> DataFrame:
     """(file, line, child, parent): every identifier of the list of parents."""
-    lang = F.when(F.col("language") == "javascript", "typescript").otherwise(F.col("language"))
-    child = F.coalesce(*[F.when(lang == la, F.regexp_extract("line_text", p, 1)) for la, p in fixed.INHERITS])
-    parents = F.coalesce(*[F.when(lang == la, F.regexp_extract("line_text", p, 2)) for la, p in fixed.INHERITS])
-    g = numbered.withColumn("child", child).withColumn("_p", parents).where("child <> ''")
+    x = numbered.withColumn("_f", _family(fixed.INHERIT_FAMILY))
+    child = F.coalesce(*[F.when(F.col("_f") == la, F.regexp_extract("line_text", p, 1)) for la, p in fixed.INHERITS])
+    parents = F.coalesce(*[F.when(F.col("_f") == la, F.regexp_extract("line_text", p, 2)) for la, p in fixed.INHERITS])
+    g = x.withColumn("child", child).withColumn("_p", parents).where("child <> ''")
     return g.withColumn("parent", F.explode(F.array_distinct(F.regexp_extract_all("_p", F.lit("([A-Za-z_][A-Za-z0-9_]*)"), F.lit(1))))).select("file", "language", "line", "child", "parent")
 
 

@@ -153,7 +153,30 @@ def numbered(spark, d):
     return x.select("file", (F.col("start_line") + F.col("i")).alias("line"), T.language_of(F.col("file")).alias("language"), "line_text").distinct()
 
 
-@R.add("definitions_extract", " UNION ALL ".join(f"SELECT file, language, line::INT AS line, regexp_extract(line_text, {_sql(p)}, 1) AS symbol, '{k}' AS kind FROM {_LINES} WHERE lang = '{la}' AND regexp_extract(line_text, {_sql(p)}, 1) <> ''" for la, k, p in fixed.DEFINITIONS))
+# What the SQL expects is written out here, apart from the operators' own lists: languages, kind and pattern.
+_JS = "'typescript', 'javascript', 'tsx', 'jsx'"
+_W, _V = "([A-Za-z_][A-Za-z0-9_]*)", "([A-Za-z_$][A-Za-z0-9_$]*)"
+_PUB, _MOD = r"^\s*(?:pub(?:\s*\([^)]*\))?\s+)?", r"^\s*(?:public|private|protected)?\s*"
+_DEFINED = [
+    ("'python'", "function", rf"^\s*(?:async\s+)?def\s+{_W}\s*\("), ("'python'", "class", rf"^\s*class\s+{_W}\b"),
+    (_JS, "function", rf"^\s*(?:export\s+)?(?:async\s+)?function\s+{_V}"), (_JS, "class", rf"^\s*(?:export\s+(?:default\s+)?)?(?:abstract\s+)?class\s+{_V}"),
+    (_JS, "interface", rf"^\s*(?:export\s+)?interface\s+{_V}"), (_JS, "type", rf"^\s*(?:export\s+)?type\s+{_V}"), (_JS, "enum", rf"^\s*(?:export\s+)?enum\s+{_V}"),
+    (_JS, "const", rf"^\s*(?:export\s+)?(?:const|let|var)\s+{_V}\s*=\s*(?:async\s*)?(?:\(|function)"),
+    ("'go'", "function", rf"^\s*func\s+(?:\([^)]*\)\s*)?{_W}"), ("'go'", "type", rf"^\s*type\s+{_W}\s+(?:struct|interface)"),
+    ("'rust'", "function", rf"{_PUB}(?:async\s+)?fn\s+{_W}"), ("'rust'", "struct", rf"{_PUB}struct\s+{_W}"), ("'rust'", "enum", rf"{_PUB}enum\s+{_W}"), ("'rust'", "trait", rf"{_PUB}trait\s+{_W}"),
+    ("'java', 'csharp', 'kotlin'", "class", rf"{_MOD}(?:abstract\s+)?class\s+{_W}"), ("'java', 'csharp', 'kotlin'", "interface", rf"{_MOD}interface\s+{_W}"),
+    ("'c', 'cpp'", "function", rf"^\s*(?:[\w:<>*&]+\s+)+{_W}\s*\([^)]*\)\s*\{{"), ("'c', 'cpp'", "class", rf"^\s*(?:class|struct)\s+{_W}"),
+]
+_IMPORTED = [
+    ("'python'", r"^\s*(?:from\s+([\w.]+)\s+import|import\s+([\w.,\s]+))", True), (_JS, r"^\s*(?:import|export)\s+(?:.*?from\s+)?[\"']([^\"']+)[\"']", False), ("'go'", r"^\s*import\s+\"([^\"]+)\"", False),
+    ("'rust'", r"^\s*use\s+([\w:]+)", False), ("'java'", r"^\s*import\s+([\w.]+);", False), ("'csharp'", r"^\s*using\s+([\w.]+);", False), ("'kotlin'", r"^\s*import\s+([\w.]+)", False), ("'c', 'cpp'", r"^\s*#\s*include\s+[<\"]([^>\"]+)[>\"]", False),
+]
+_INHERITED = [
+    ("'python'", rf"^\s*class\s+{_W}\s*\(([^)]+)\)"), ("'typescript', 'javascript', 'tsx'", rf"^\s*(?:export\s+(?:default\s+)?)?(?:abstract\s+)?class\s+{_V}\s+extends\s+{_V}"), ("'java'", rf"{_MOD}(?:abstract\s+)?class\s+{_W}\s+extends\s+{_W}"),
+]
+
+
+@R.add("definitions_extract", " UNION ALL ".join(f"SELECT file, language, line::INT AS line, regexp_extract(line_text, {_sql(p)}, 1) AS symbol, '{k}' AS kind FROM {_LINES} WHERE language IN ({la}) AND regexp_extract(line_text, {_sql(p)}, 1) <> ''" for la, k, p in _DEFINED))
 def definitions_extract(spark, d):
     return I.definitions(numbered(spark, d))
 
@@ -161,8 +184,9 @@ def definitions_extract(spark, d):
 @R.add(
     "imports_extract",
     "SELECT file, language, line, target FROM (SELECT file, language, line, regexp_replace(trim(unnest(string_split(r, ','))), '\\s+as\\s+.*$', '') AS target FROM ("
-    + " UNION ALL ".join(f"SELECT file, language, line::INT AS line, regexp_extract(line_text, {_sql(p)}, 1) || regexp_extract(line_text, {_sql(p)}, 2) AS r FROM {_LINES} WHERE lang = '{la}'" for la, p in fixed.IMPORTS)
-    + ") WHERE r <> '') WHERE target <> ''",
+    + " UNION ALL ".join(f"SELECT file, language, line::INT AS line, regexp_extract(line_text, {_sql(p)}, 1)" + (f" || regexp_extract(line_text, {_sql(p)}, 2)" if two else "") + f" AS r FROM {_LINES} WHERE language IN ({la})" for la, p, two in _IMPORTED)
+    + ") WHERE r <> '') WHERE target <> '' UNION ALL SELECT file, language, line::INT, unnest(regexp_extract_all(line_text, '\"([^\"]+)\"', 1)) FROM ("
+    + f"SELECT *, max(CASE WHEN regexp_matches(line_text, '\\bimport\\s+\\(') THEN line END) OVER (PARTITION BY file ORDER BY line, line_text ROWS UNBOUNDED PRECEDING) AS o, max(CASE WHEN contains(line_text, ')') THEN line END) OVER (PARTITION BY file ORDER BY line, line_text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS c FROM {_LINES} WHERE language = 'go') WHERE o IS NOT NULL AND (c IS NULL OR c < o)",
 )
 def imports_extract(spark, d):
     return I.imports(numbered(spark, d))
@@ -171,7 +195,7 @@ def imports_extract(spark, d):
 @R.add(
     "inheritance_extract",
     "SELECT file, language, line, child, unnest(list_distinct(regexp_extract_all(p, '([A-Za-z_][A-Za-z0-9_]*)', 1))) AS parent FROM ("
-    + " UNION ALL ".join(f"SELECT file, language, line::INT AS line, regexp_extract(line_text, {_sql(p)}, 1) AS child, regexp_extract(line_text, {_sql(p)}, 2) AS p FROM {_LINES} WHERE lang = '{la}'" for la, p in fixed.INHERITS)
+    + " UNION ALL ".join(f"SELECT file, language, line::INT AS line, regexp_extract(line_text, {_sql(p)}, 1) AS child, regexp_extract(line_text, {_sql(p)}, 2) AS p FROM {_LINES} WHERE language IN ({la})" for la, p in _INHERITED)
     + ") WHERE child <> ''",
 )
 def inheritance_extract(spark, d):

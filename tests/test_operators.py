@@ -301,3 +301,28 @@ def test_retrieve_within_budget(spark):
     q = spark.createDataFrame([(1, "load_graph number"), (2, ""), (3, None)], "query_id bigint, query string")
     got = retrieve(q, c, budget=100).collect()
     assert {r.query_id for r in got} == {1} and max(r.used for r in got) <= 100 and min(got, key=lambda r: r.pos).id == 3
+
+
+EXTRACTED = [
+    ("c", "static int count_rows(struct table *t) {", "count_rows", "function"), ("cpp", "class Shard : public Base {", "Shard", "class"), ("csharp", "public abstract class Store {", "Store", "class"),
+    ("kotlin", "interface Source {", "Source", "interface"), ("tsx", "export const View = (p) => {", "View", "const"), ("jsx", "function App() {", "App", "function"), ("javascript", "let run = async function () {", "run", "const"),
+]
+IMPORTED = [
+    ("c", "#include <stdio.h>", ["stdio.h"]), ("cpp", '# include "a/b.hpp"', ["a/b.hpp"]), ("csharp", "using System.Text;", ["System.Text"]), ("kotlin", "import a.b.C", ["a.b.C"]), ("tsx", "import { a } from './b';", ["./b"]),
+    ("go", 'import "fmt"', ["fmt"]), ("python", "import os, re as r", ["os", "re"]),
+]
+
+
+def test_extraction_in_every_language(spark):
+    schema = "file string, language string, line int, line_text string"
+    rows = [(f"f{i}", la, 1, t) for i, (la, t, _, _) in enumerate(EXTRACTED)] + [("n", "c", 1, None), ("n", "c", 2, "")]
+    got = {(r.file, r.symbol, r.kind) for r in ingest.definitions(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {(f"f{i}", s, k) for i, (_, _, s, k) in enumerate(EXTRACTED)}
+    rows = [(f"f{i}", la, 1, t) for i, (la, t, _) in enumerate(IMPORTED)]
+    go = ["package a", "import (", '\t"fmt"', '\tx "net/http"', ")", 'var s = "no"', "func f() {}"]
+    rows += [("g", "go", i + 1, t) for i, t in enumerate(go)] + [("h", "go", 1, 'import ("a"; "b")'), ("h", "go", 2, 'var z = "no"')]
+    got = {(r.file, r.target) for r in ingest.imports(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {(f"f{i}", t) for i, (_, _, ts) in enumerate(IMPORTED) for t in ts} | {("g", "fmt"), ("g", "net/http"), ("h", "a"), ("h", "b")}
+    rows = [("t", "tsx", 1, "class A extends B {"), ("p", "python", 1, "class C(D, E):"), ("j", "java", 1, "public class F extends G {")]
+    got = {(r.child, r.parent) for r in ingest.inheritance(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {("A", "B"), ("C", "D"), ("C", "E"), ("F", "G")}
