@@ -3,7 +3,8 @@
 Both sides are brought to plain words: compatibility forms, look-alike letters, invisible characters, markup,
 case and punctuation are folded away. Every shard of training texts becomes one suffix array over word numbers
 (only words of the tests have numbers, every other word ends a match); every test suffix is looked up in it by
-binary search, which gives its verbatim matches of three words and more with their places. Matches near one
+binary search, which gives its verbatim matches of three words and more with their places; every match is then followed to
+its full length, so the longest verbatim match of an item in a text is known with its place (:func:`leak_locations`). Matches near one
 diagonal of (text, test item) are added up, and what may hold two successive sentences is aligned word by word.
 
 The filter before the alignment loses nothing: of n words with at most n/5 edits, at most n/5 + 1 runs stay
@@ -80,6 +81,10 @@ class TestSet:
         self.where = np.array(where, dtype=np.int64).reshape(-1, 2)
         self.need = np.array([max(LEAST_RUN, int(np.ceil(0.4 * len(w) - 2))) for _, w, _ in self.pairs], dtype=np.int64)
         self.len = np.array([len(w) for _, w, _ in self.pairs], dtype=np.int64)
+        self.item = np.array([i for i, _, _ in self.pairs], dtype=np.int64)
+        # the words of all pairs in one row; -1 ends a pair
+        self.begin = np.cumsum([0, *(len(w) + 1 for _, w, _ in self.pairs)])
+        self.row = np.concatenate([x for _, w, _ in self.pairs for x in (w, [-1])]) if self.pairs else np.zeros(0, dtype=np.int64)
 
 
 def instruction_sentences(items: list[tuple[int, str]]) -> set[tuple[str, ...]]:
@@ -140,7 +145,36 @@ class Shard:
                 return
             i = max(i + 1, min(j, int(np.searchsorted(self.at, self.at[j] - overlap))))
 
-    def search(self, most_edits: float = 0.2, most_hits: int = 4_000_000) -> Iterator[tuple[int, int]]:
+    def _follow(self, p: np.ndarray, q: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The full length of matches that begin at word q of pair p and at word ``at`` of the texts."""
+        there = self.tests.begin[p] + q
+        length = np.full(len(at), LEAST_RUN, dtype=np.int64)
+        live = np.arange(len(at))
+        while len(live):
+            a, b = at[live] + length[live], there[live] + length[live]
+            same = (a < len(self.words)) & (self.words[np.minimum(a, len(self.words) - 1)] == self.tests.row[b])
+            live = live[same]
+            length[live] += 1
+        return length
+
+    def locations(self, most_edits: float = 0.2, most_hits: int = 4_000_000) -> Iterator[tuple[int, int, int, int]]:
+        """(number of the text, item, first word, words): the longest verbatim match of each leaked item, the first of equal ones."""
+        best: dict[tuple[int, int], tuple[int, int]] = {}
+
+        def note(p: np.ndarray, q: np.ndarray, at: np.ndarray) -> None:
+            d, item, n = np.searchsorted(self.starts, at, "right") - 1, self.tests.item[p], self._follow(p, q, at)
+            order = np.lexsort((at, -n, item, d))
+            d, item, n, at = d[order], item[order], n[order], at[order]
+            first = np.concatenate([[True], (d[1:] != d[:-1]) | (item[1:] != item[:-1])])
+            for x in np.nonzero(first)[0]:
+                key, one = (int(d[x]), int(item[x])), (-int(n[x]), int(at[x] - self.starts[d[x]]))
+                best[key] = min(best.get(key, one), one)
+
+        for key in list(self.search(most_edits, most_hits, note)):
+            n, at = best[key]
+            yield (*key, at, -n)
+
+    def search(self, most_edits: float = 0.2, most_hits: int = 4_000_000, note=None) -> Iterator[tuple[int, int]]:
         t = self.tests
         found: set[tuple[int, int]] = set()
         if not len(self.at) or not len(t.keys):
@@ -154,6 +188,8 @@ class Shard:
                 continue
             which = np.repeat(np.arange(len(m)), m)
             at = suffixes[np.repeat(lo, m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)]
+            if note is not None:
+                note(t.where[which, 0], t.where[which, 1], at)
             yield from self._verify(t.where[which, 0], t.where[which, 1], at, most_edits, found)
 
     def _verify(self, p: np.ndarray, q: np.ndarray, at: np.ndarray, most_edits: float, found: set[tuple[int, int]]) -> Iterator[tuple[int, int]]:
@@ -188,6 +224,14 @@ class Shard:
 
 def find_leaks(documents: DataFrame, items: DataFrame, most_edits: float = 0.2, block: int = 5000, shard_chars: int = 4_000_000) -> DataFrame:
     """documents(doc_id, text) x items(item_id, text) -> distinct (doc_id, item_id)."""
+    return leak_locations(documents, items, most_edits, block, shard_chars, places=False).select("doc_id", "item_id").distinct()
+
+
+def leak_locations(documents: DataFrame, items: DataFrame, most_edits: float = 0.2, block: int = 5000, shard_chars: int = 4_000_000, places: bool = True) -> DataFrame:
+    """(doc_id, item_id, first_word, words): where the longest verbatim match of each leaked item lies, in words of the plain text.
+
+    Repeated documents give their rows once per copy of the row; callers that want them once drop duplicates.
+    """
     tests = [(r[0], r[1]) for r in items.select("item_id", "text").dropDuplicates(["item_id"]).orderBy("item_id").collect()] if _bounded(items) else None
     if tests is None:
         raise ValueError("the test side is larger than a test set can be")
@@ -201,8 +245,11 @@ def find_leaks(documents: DataFrame, items: DataFrame, most_edits: float = 0.2,
             t = TestSet(*given.value)
 
             def flush(ids: list, texts: list) -> pd.DataFrame:
-                hits = sorted(set(Shard(t, texts).search(most_edits))) if t.pairs else []
-                return pd.DataFrame({"doc_id": [ids[d] for d, _ in hits], "item_id": [x for _, x in hits]}, dtype="int64")
+                hits: list = []
+                if t.pairs:
+                    shard = Shard(t, texts)
+                    hits = sorted(shard.locations(most_edits)) if places else sorted({(*x, 0, 0) for x in shard.search(most_edits)})
+                return pd.DataFrame({"doc_id": [ids[h[0]] for h in hits], "item_id": [h[1] for h in hits], "first_word": [h[2] for h in hits], "words": [h[3] for h in hits]}, dtype="int64")
 
             ids, texts, chars = [], [], 0
             for b in batches:
@@ -216,17 +263,27 @@ def find_leaks(documents: DataFrame, items: DataFrame, most_edits: float = 0.2,
             if texts:
                 yield flush(ids, texts)
 
-        part = documents.select("doc_id", "text").where("text is not null and text <> ''").mapInPandas(run, "doc_id bigint, item_id bigint")
+        part = documents.select("doc_id", "text").where("text is not null and text <> ''").mapInPandas(run, "doc_id bigint, item_id bigint, first_word bigint, words bigint")
         out = part if out is None else out.unionByName(part)
-    return out.distinct()
+    return out
+
+
+def without_leaks(documents: DataFrame, leaks: DataFrame) -> DataFrame:
+    """The documents that carry no test item."""
+    return documents.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti")
 
 
 #: A test set has at most so many items; they are collected, cut into blocks and sent to the executors.
 MOST_ITEMS = 1_000_000
 
 
+#: ... and so many characters.
+MOST_CHARS = 1_000_000_000
+
+
 def _bounded(items: DataFrame) -> bool:
-    return items.limit(MOST_ITEMS + 1).count() <= MOST_ITEMS
+    n, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    return n <= MOST_ITEMS and chars <= MOST_CHARS
 
 
 def leaked_per_item(leaks: DataFrame) -> DataFrame:

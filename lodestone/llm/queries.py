@@ -9,7 +9,7 @@ from . import handwritten, neighbours, packing
 from ..session import spread
 from ..sources.tables import table
 from .files import per_file, windows
-from .leaks import find_leaks, leaked_per_item
+from .leaks import find_leaks, leak_locations, leaked_per_item, without_leaks
 from .neighbours import similar_pairs
 from .sentences import sentence_rows
 
@@ -71,6 +71,19 @@ def p9_items(spark, d):
     return leaked_per_item(find_leaks(_documents(spark, d), table(spark, d, "benchmark", ["item_id", "text"])))
 
 
+@R.add("p9_locations")
+def p9_locations(spark, d):
+    """The longest verbatim match of each leaked item in each document, with its place."""
+    return leak_locations(_documents(spark, d), table(spark, d, "benchmark", ["item_id", "text"])).distinct()
+
+
+@R.add("p9_clean")
+def p9_clean(spark, d):
+    """Ids of the documents that are left when those with a leaked item are removed."""
+    leaks = find_leaks(_documents(spark, d), table(spark, d, "benchmark", ["item_id", "text"]))
+    return without_leaks(table(spark, d, "documents", ["doc_id"]).distinct(), leaks)
+
+
 @R.add("p6_found")
 def p6_found(spark, d):
     return similar_pairs(table(spark, d, "vector_store", ["vec_id", "embedding"]))
@@ -94,7 +107,7 @@ def p10_found(spark, d):
 @R.add("p10_per_language")
 def p10_per_language(spark, d):
     """How many sentences, and of how many characters, the documents of each label hold."""
-    docs = table(spark, d, "documents", ["doc_id", "text", "lang"])
+    docs = spread(table(spark, d, "documents", ["doc_id", "text", "lang"]), "doc_id")
     rows = sentence_rows(docs).distinct().join(docs.select("doc_id", "lang").dropDuplicates(["doc_id"]), "doc_id")
     return rows.groupBy("lang").agg(F.count("*").alias("sentences"), F.round(F.avg(F.col("end_pos") - F.col("start_pos")), 6).alias("mean_chars"))
 

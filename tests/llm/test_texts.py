@@ -101,6 +101,35 @@ def test_long_and_repetitive_texts_are_searched_in_stretches():
     assert set(L.Shard(tests, rows).search()) == set(L.Shard(tests, rows).search(most_hits=500)) == {(0, 1), (1, 1)}
 
 
+def test_longest_verbatim_match_and_its_place():
+    words = (S1 + " " + S2).split()
+    words[5] = "zzz"
+    fill = "Some other words come first. "
+    got = list(L.Shard(L.TestSet(ITEMS), [fill, fill + " ".join(words), S1 + " " + S2]).locations())
+    n = len(L.plain_words(S1 + " " + S2))
+    assert sorted(got) == [(1, 1, 5 + 6, n - 6), (2, 1, 0, n)]
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.integers(0, 36), max_size=6, unique=True))
+def test_longest_match_against_brute_force(changed):
+    want = L.plain_words(S1 + " " + S2)
+    words = (S1 + " " + S2).split()
+    for i in changed:
+        if i < len(words):
+            words[i] = "zzz"
+    doc = L.plain_words(" ".join(words))
+    best = max((next((k for k in range(len(doc) - i) if i + k >= len(doc) or j + k >= len(want) or doc[i + k] != want[j + k]), min(len(doc) - i, len(want) - j)), -i) for i in range(len(doc)) for j in range(len(want)))
+    for d, item, at, n in L.Shard(L.TestSet(ITEMS), [" ".join(words)]).locations():
+        assert (n, -at) == best
+
+
+def test_clean_documents(spark):
+    docs = spark.createDataFrame([(1, S1 + " " + S2), (2, "Plain."), (3, None), (3, None)], "doc_id bigint, text string")
+    leaks = L.find_leaks(docs, spark.createDataFrame(ITEMS, "item_id bigint, text string"))
+    assert sorted(r.doc_id for r in L.without_leaks(docs, leaks).collect()) == [2, 3, 3]
+
+
 def test_find_leaks_in_blocks(spark):
     docs = spark.createDataFrame([(1, S1 + " " + S2), (2, S1 + " " + S2), (2, S1 + " " + S2), (3, None), (4, "")], "doc_id bigint, text string")
     items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
