@@ -21,7 +21,7 @@ from .graphs import TURNS, _any, query_texts, turns
 from .ingest import DOCS, META, docs, meta, numbered
 from .registry import Registry
 from ..sources.tables import table
-from .retrieval import Lexical, queries
+from .retrieval import _BM, _RANK, QUERIES, Lexical, _scores, queries
 
 R = Registry()
 
@@ -177,7 +177,7 @@ def fenced_python_check(spark, d):
     return b.select("doc_id", "pos", parses(F.col("b.body")).alias("parses"))
 
 
-@R.add("fuse_reversed_lists")
+@R.add("fuse_reversed_lists", f"WITH {_BM}, {_scores(QUERIES)} SELECT query_id, id, rank0::INT AS rank0 FROM (SELECT *, {_RANK.format(s='score')} AS rank0 FROM sc) WHERE rank0 < 60")
 def fuse_reversed_lists(spark, d):
     """A list fused with itself gives its own order again."""
     h = Lexical(spark, d).search(queries(spark, d), fixed.CANDIDATE_POOL)

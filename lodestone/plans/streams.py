@@ -34,7 +34,14 @@ def storm_detection(spark, d):
     return S.trailing_counts(events(spark, d), 600).select("event_id", "n", (F.col("n") >= 3).alias("storm"))
 
 
-@R.add("debounce_paths")
+# Pointers from each event to the first one at least an hour later, followed from the first event of a key.
+_NEXT = """f AS MATERIALIZED (SELECT k, ts, min(event_id) AS event_id FROM {source} GROUP BY k, ts),
+nx AS MATERIALIZED (SELECT e.event_id, f.event_id AS nxt FROM f e ASOF JOIN f ON e.k = f.k AND e.ts + INTERVAL 1 HOUR <= f.ts),
+acc(event_id) AS (SELECT arg_min(event_id, ts) FROM f GROUP BY k UNION ALL SELECT nx.nxt FROM acc JOIN nx ON nx.event_id = acc.event_id)"""
+_DEBOUNCED = f"WITH RECURSIVE {_NEXT.format(source=f'(SELECT event_id, ts, user_id AS k FROM {EV} WHERE user_id IS NOT NULL)')} SELECT event_id, user_id::BIGINT AS user_id FROM acc JOIN {EV} e USING (event_id)"
+
+
+@R.add("debounce_paths", _DEBOUNCED)
 def debounce_paths(spark, d):
     return S.debounce(events(spark, d), "user_id", 3600).select("event_id", F.col("user_id").cast("bigint").alias("user_id"))
 
@@ -48,10 +55,13 @@ def rebuild_sessions(spark, d):
     return S.sessions(events(spark, d), "user_id", 7200).select(F.col("user_id").cast("bigint").alias("user_id"), F.col("start_ts").cast("timestamp_ntz").alias("start_ts"), "n_events")
 
 
-@R.add("storm_gate")
+_HOT = f"hot AS MATERIALIZED (SELECT event_id, ts, 0 AS k FROM (SELECT event_id, ts, count(*) OVER (ORDER BY ts RANGE BETWEEN INTERVAL 600 SECOND PRECEDING AND CURRENT ROW) AS n FROM {EV}) WHERE n >= 3)"
+
+
+@R.add("storm_gate", f"WITH RECURSIVE {_HOT}, {_NEXT.format(source='hot')} SELECT event_id, ts FROM acc JOIN {EV} e USING (event_id)")
 def storm_gate(spark, d):
     """Pauses of the indexer: three events within ten minutes begin one of an hour."""
-    return S.storm_pauses(events(spark, d), 600, 3, 3600)
+    return S.storm_pauses(events(spark, d), 600, 3, 3600).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @R.add("head_change", f"SELECT event_id, user_id, event_type AS after, before FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM {EV}) WHERE before IS NOT NULL AND before <> event_type")
@@ -96,15 +106,20 @@ def stream_filter(spark, d):
     return S.run_to_end(s.select("event_id", "event_type"), "filter")
 
 
-@R.add("stream_debounce")
+@R.add("stream_debounce", _DEBOUNCED)
 def stream_debounce(spark, d):
     return S.run_to_end(S.debounce_stream(_stream(spark, d), "user_id", 3600), "debounce").select("event_id", F.col("user_id").cast("bigint").alias("user_id"))
 
 
-@R.add("stream_sessions")
+@R.add(
+    "stream_sessions",
+    "WITH g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 2 HOUR THEN 1 ELSE 0 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS i FROM g) SELECT user_id::BIGINT AS user_id, min(ts) AS start_ts, count(*)::BIGINT AS n_events FROM s GROUP BY user_id, i HAVING max(ts) + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE",
+)
 def stream_sessions(spark, d):
+    """Bursts that the watermark, ten minutes behind the last event, has passed."""
     s = _stream(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
-    return S.run_to_end(S.session_stream(s, "user_id", "2 hours"), "sessions")
+    x = S.run_to_end(S.session_stream(s, "user_id", "2 hours"), "sessions")
+    return x.select(F.col("user_id").cast("bigint").alias("user_id"), F.col("start_ts").cast("timestamp_ntz").alias("start_ts"), "n_events")
 
 
 @R.add("stream_upsert", f"SELECT user_id, count(*)::BIGINT AS n FROM (SELECT DISTINCT user_id, event_type FROM {EV}) GROUP BY user_id")

@@ -326,3 +326,32 @@ def test_extraction_in_every_language(spark):
     rows = [("t", "tsx", 1, "class A extends B {"), ("p", "python", 1, "class C(D, E):"), ("j", "java", 1, "public class F extends G {")]
     got = {(r.child, r.parent) for r in ingest.inheritance(spark.createDataFrame(rows, schema)).collect()}
     assert got == {("A", "B"), ("C", "D"), ("C", "E"), ("F", "G")}
+
+
+def test_fenced_blocks_that_parse(spark, tmp_path):
+    from lodestone.plans.composites import fenced_python_check
+
+    rows = [(1, "```python\nx = 1\n```\n```python\ndef (\n```\n```js\n(\n```"), (2, "none"), (3, None), (4, "")]
+    spark.createDataFrame([(i, t, "en", "s", 1, "t", None) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, title string, created_at timestamp_ntz").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted((r.doc_id, r.parses) for r in fenced_python_check(spark, str(tmp_path)).collect()) == [(1, False), (1, True)]
+
+
+def test_variants_of_a_query(spark):
+    a = rules.analyse(spark.createDataFrame([(1, "how does load_graph work in parse_tree"), (2, ""), (3, None)], "query_id bigint, query string"))
+    got = {}
+    for r in rules.variants(a).collect():
+        got.setdefault(r.query_id, {})[r.variant] = r.text
+    assert "how does load_graph work in parse_tree" in got[1].values() and len(set(got[1].values())) == len(got[1]) >= 2
+    assert all(isinstance(v, str) for x in got.values() for v in x.values())
+
+
+def test_call_graph_adds_callers_once(spark):
+    from lodestone.operators.retrieve import expand_with_graph
+
+    chunks = spark.createDataFrame([(1, "a.py", "load", 1, 10, 5), (2, "b.py", "use", 1, 10, 7), (3, "c.py", None, 1, 10, 9)], "id bigint, file string, symbol string, start_line int, end_line int, tokens bigint")
+    ranked = spark.createDataFrame([(1, 1, 0, 0.9)], "query_id bigint, id bigint, rank0 int, score double")
+    refs = spark.createDataFrame([("load", "b.py", 3), ("load", "b.py", 4), ("load", "c.py", 2), ("load", "a.py", 5), (None, "c.py", 1)], "symbol string, file string, line int")
+    defs = spark.createDataFrame([("load", "a.py", "function", 1)], "symbol string, file string, kind string, start_line int")
+    got = {(r.id, r.via, r.tokens) for r in expand_with_graph(ranked, chunks, refs, defs).collect()}
+    assert got == {(2, "load", 7), (3, "load", 9)}
+    assert {r.id for r in expand_with_graph(ranked, chunks, refs, defs, budget=8).collect()} == {2}
