@@ -49,7 +49,7 @@ def find_orphans(references: DataFrame, targets: DataFrame) -> DataFrame:
     r = references.select("src_table", "row_id", "key", "seen_at").where("key is not null").withColumn("t", F.col("seen_at").cast("timestamp_ntz"))
     r = r.withColumn("d", F.to_date(F.coalesce("t", never)))
     x = targets.select("key", F.col("created_at").cast("timestamp_ntz").alias("t"), F.col("removed_at").cast("timestamp_ntz").alias("e")).where("key is not null")
-    x = x.groupBy("key", "t").agg(F.max(F.coalesce("e", far)).alias("e")).withColumn("d", F.to_date(F.coalesce("t", never)))
+    x = x.select("key", "t", F.coalesce("e", far).alias("e"), F.to_date(F.coalesce("t", never)).alias("d"))
     ends = F.when(F.col("t").isNotNull() & (F.col("e") > F.col("t")), F.col("e")).alias("e")
     # per key and day: the latest end among the rows created before that day, and the last creation of the key
     days = x.select("key", "d", "t", ends, F.lit(1).alias("k")).unionByName(r.select("key", "d", F.lit(None).cast("timestamp_ntz").alias("t"), F.lit(None).cast("timestamp_ntz").alias("e"), F.lit(0).alias("k")))
@@ -69,7 +69,7 @@ def find_orphans(references: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def edge_references(edges: DataFrame) -> DataFrame:
-    return edges.select(F.lit("edges").alias("src_table"), F.col("edge_id").alias("row_id"), clean_edge_id(F.col("dst_id")).alias("key"), "seen_at").dropDuplicates(["row_id"])
+    return edges.select(F.lit("edges").alias("src_table"), F.col("edge_id").alias("row_id"), clean_edge_id(F.col("dst_id")).alias("key"), "seen_at")
 
 
 def node_targets(nodes: DataFrame) -> DataFrame:
@@ -80,11 +80,11 @@ def node_targets(nodes: DataFrame) -> DataFrame:
 
 
 def ref_references(refs: DataFrame) -> DataFrame:
-    return refs.select(F.lit("refs").alias("src_table"), F.col("ref_id").alias("row_id"), clean_reference(F.col("symbol")).alias("key"), "seen_at").dropDuplicates(["row_id"])
+    return refs.select(F.lit("refs").alias("src_table"), F.col("ref_id").alias("row_id"), clean_reference(F.col("symbol")).alias("key"), "seen_at")
 
 
 def import_references(imports: DataFrame) -> DataFrame:
-    return imports.select(F.lit("imports").alias("src_table"), F.col("import_id").alias("row_id"), clean_reference(F.col("target")).alias("key"), "seen_at").dropDuplicates(["row_id"])
+    return imports.select(F.lit("imports").alias("src_table"), F.col("import_id").alias("row_id"), clean_reference(F.col("target")).alias("key"), "seen_at")
 
 
 def all_orphans(edges: DataFrame, refs: DataFrame, imports: DataFrame, nodes: DataFrame, definitions: DataFrame) -> DataFrame:
@@ -95,7 +95,8 @@ def all_orphans(edges: DataFrame, refs: DataFrame, imports: DataFrame, nodes: Da
     r = find_orphans(ref_references(refs), symbols)
     i = find_orphans(import_references(imports), modules)
     cols = ["src_table", "row_id", "key", "seen_at", "reason"]
-    return e.select(cols).unionByName(r.select(cols)).unionByName(i.select(cols))
+    # repeated rows have the same reason: it is enough to drop them among the orphans
+    return e.select(cols).unionByName(r.select(cols)).unionByName(i.select(cols)).dropDuplicates(["src_table", "row_id"])
 
 
 def record_links(edges: DataFrame, refs: DataFrame, imports: DataFrame, nodes: DataFrame) -> DataFrame:
