@@ -49,12 +49,24 @@ def callers(refs: DataFrame, definitions: DataFrame) -> DataFrame:
     return refs.join(definitions.select("symbol", "file").distinct(), ["symbol", "file"], "left_anti")
 
 
-def callees(refs: DataFrame, definitions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Definitions in other files of what a chunk (chunk_id, file, start_line, end_line) refers to."""
-    r = refs.select("symbol", F.col("file").alias("ref_file"), "line")
-    inside = chunks.join(r, (chunks["file"] == r["ref_file"]) & F.col("line").between(F.col("start_line"), F.col("end_line"))).select("chunk_id", "ref_file", "symbol").distinct()
-    d = definitions.select("symbol", F.col("file").alias("def_file"), F.col("start_line").alias("def_line"), "kind").distinct()
-    return inside.join(d, "symbol").where("def_file <> ref_file").select("chunk_id", "symbol", "kind", "def_file", "def_line").distinct()
+def callee_links(refs: DataFrame, definitions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """symbol, kind, links: pairs of a chunk (chunk_id, file, start_line, end_line) and a definition, in another file, of what it refers to.
+
+    The pairs of a symbol are a product, so they are counted without being listed: every chunk by every definition, less the
+    chunks that refer to it in the definition's own file only. Rows of ``whole`` hold the first count, the others the second.
+    """
+
+    def both(file):
+        return F.inline(F.array(F.struct(F.lit(True).alias("whole"), F.lit("").alias("file")), F.struct(F.lit(False).alias("whole"), file.alias("file"))))
+
+    r = refs.where("symbol is not null").select("symbol", "file", "line").distinct()
+    c = chunks.select("chunk_id", "file", "start_line", "end_line").distinct()
+    inside = r.join(c, "file").where("line between start_line and end_line").groupBy("symbol", "chunk_id").agg(F.min("file").alias("first"), F.max("file").alias("last"))
+    n = inside.select("symbol", both(F.when(F.col("first") == F.col("last"), F.col("first")))).where("file is not null").groupBy("symbol", "whole", "file").agg(F.count("*").alias("n"))
+    d = definitions.where("symbol is not null and file is not null").select("symbol", "kind", F.col("file").alias("def_file"), "start_line").distinct()
+    m = d.select("symbol", "kind", both(F.col("def_file"))).groupBy("symbol", "kind", "whole", "file").agg(F.count("*").alias("m"))
+    links = F.sum(F.when(F.col("whole"), F.col("n") * F.col("m")).otherwise(-F.col("n") * F.col("m")))
+    return m.join(n, ["symbol", "whole", "file"]).groupBy("symbol", "kind").agg(links.alias("links")).where("links > 0")
 
 
 def importers(imports: DataFrame, wanted: DataFrame) -> DataFrame:

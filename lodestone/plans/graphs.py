@@ -123,11 +123,11 @@ _CALLEES = f"""SELECT c.chunk_id, r.symbol, x.kind, x.file AS def_file, x.start_
 def callees_join(spark, d):
     """Chunks by what they refer to in other files, counted per symbol.
 
-    Chunk links of one symbol are a product of its references and definitions, so both sides are made distinct and the
-    links are counted by partial aggregation.
+    Repeated rows need no pass of their own: links are of distinct chunks and definitions.
     """
-    c = meta(spark, d, "file", "start_line", "end_line").select("chunk_id", "file", "start_line", "end_line")
-    return G.callees(refs(spark, d), defs(spark, d), c).groupBy("symbol", "kind").agg(F.count("*").alias("links"))
+    r = table(spark, d, "refs", ["symbol", "file", "line"])
+    x = table(spark, d, "definitions", ["symbol", "file", "kind", "start_line"])
+    return G.callee_links(r, x, table(spark, d, "store_meta", ["chunk_id", "file", "start_line", "end_line"]))
 
 
 IMPORTS = "(SELECT DISTINCT import_id, file, target, line, repo FROM imports)"
